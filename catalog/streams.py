@@ -11,15 +11,15 @@ from logloom.session import cut, scratch_path
 from logloom.streaming import ingest, state
 
 
-def _event_stream(spark, folder):
-    """The dense event logs as a stream of files, in time order."""
-    home = scratch_path(spark, "stream")
+def _instalments(spark, folder, home, run):
+    """The dense event logs arrive in two instalments, in time order; after each, the streams run
+    until nothing is left and stop. The second run takes up the state the first one left."""
     logs = event_logs(spark, folder).select(
         "template_id", "service", "timestamp", "source_file", "line_number", numeric_params(F.col("dynamic_params")).alias("numbers")
     )
-    logs.repartitionByRange(4, "timestamp").sortWithinPartitions("timestamp").write.parquet(f"{home}/in")
-    files = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
-    return home, files
+    for part in ("timestamp < timestamp'2024-01-01 00:43:00'", "timestamp >= timestamp'2024-01-01 00:43:00'"):
+        logs.filter(part).write.mode("append").parquet(f"{home}/in")
+        run(spark.readStream.schema(logs.schema).parquet(f"{home}/in"))
 
 
 @query(
@@ -28,9 +28,13 @@ def _event_stream(spark, folder):
 SELECT line_number, burstiness, volatility, time_delta FROM lg JOIN bu USING (event_id) JOIN de USING (event_id) JOIN vo USING (event_id)""",
 )
 def stream_features_replay(spark, folder):
-    home, events = _event_stream(spark, folder)
-    state.replay(state.template_state(events, "1 day"), f"{home}/t", f"{home}/ct")
-    state.replay(state.service_state(events, "1 day"), f"{home}/s", f"{home}/cs")
+    home = scratch_path(spark, "stream")
+
+    def run(events):
+        state.replay(state.template_state(events, "1 day"), f"{home}/t", f"{home}/ct")
+        state.replay(state.service_state(events, "1 day"), f"{home}/s", f"{home}/cs")
+
+    _instalments(spark, folder, home, run)
     templates, services = spark.read.parquet(f"{home}/t"), spark.read.parquet(f"{home}/s")
     return templates.join(services, ["source_file", "line_number"]).select("line_number", "burstiness", "volatility", "time_delta")
 
@@ -42,8 +46,10 @@ c AS (SELECT template_id, start, count(*) AS n FROM w GROUP BY ALL)
 SELECT template_id, start AS window_start, n FROM c WHERE start + 10 <= (SELECT max(sec) FROM lg) - 60""",
 )
 def stream_window_counts(spark, folder):
-    home, events = _event_stream(spark, folder)
-    state.replay(state.coarse_counts(events, "5 seconds", "1 minute"), f"{home}/w", f"{home}/cw")
+    home = scratch_path(spark, "stream")
+    _instalments(
+        spark, folder, home, lambda events: state.replay(state.coarse_counts(events, "5 seconds", "1 minute"), f"{home}/w", f"{home}/cw")
+    )
     return spark.read.parquet(f"{home}/w").select("template_id", F.unix_seconds("window_start").alias("window_start"), "n")
 
 

@@ -89,3 +89,22 @@ def to_unix(value: Column, kind: str) -> Column:
 def row_id(source: Column, line_number: Column) -> Column:
     """16 hex characters, the same on every run, so ingesting twice adds nothing."""
     return F.substring(F.sha1(F.concat_ws(":", source, line_number.cast("string"))), 1, 16)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """`x` rounded to `digits` places from its exact binary value, as C and Python print it.
+
+    Java's formatter rounds the shortest decimal instead, which differs on halves. The product
+    x * 10^digits is split into its rounded value and its exact remainder, which breaks the tie.
+    """
+    scale = F.lit(float(10**digits))
+    x = x.cast("double")
+    product = x * scale
+    wide = x * F.lit(134217729.0)  # splits the 53 bits of x in two halves
+    high = wide - (wide - x)
+    rest = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product).cast("double")
+    part = product - whole
+    tie = (rest > 0) | ((rest == 0) & (F.pmod(whole, F.lit(2.0)) == 1))
+    up = (part > 0.5) | ((part == 0.5) & tie)
+    return (whole + F.when(up, 1.0).otherwise(0.0)) / scale

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Masks in their order. The quantifier of the mail mask is possessive, which
 # changes no match but keeps long runs of letters linear; the parameter mask stops at white space.
@@ -38,13 +38,18 @@ def mask_text(text: Column) -> Column:
     return text
 
 
-def masked_values(text: Column) -> Column:
-    """What the masks hide, mask by mask, each seeing the text the earlier ones left."""
-    found = []
+def with_masks(df: DataFrame, text: str, masked: str, values: str) -> DataFrame:
+    """Adds the masked text and what the masks hide, mask by mask.
+
+    One projection per mask: each mask sees the text the earlier ones left, and that text is
+    computed once although it is both searched and replaced.
+    """
+    df = df.withColumn(masked, F.col(text)).withColumn(values, F.array().cast("array<string>"))
     for name, pattern in MASKS:
-        found.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        text = F.regexp_replace(text, pattern, _replacement(name))
-    return F.concat(*found)
+        left = F.regexp_replace(masked, pattern, _replacement(name))
+        found = F.regexp_extract_all(masked, F.lit(pattern), F.lit(0))
+        df = df.withColumns({masked: left, values: F.concat(values, found)})
+    return df
 
 
 def tokens(text: Column) -> Column:

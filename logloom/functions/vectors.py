@@ -24,9 +24,13 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """Scaled to length 1; a zero vector stays zero."""
-    size = F.greatest(norm(v), F.lit(NORM_FLOOR))
-    return F.transform(v, lambda x: x.cast("double") / size)
+    """Scaled to length 1; a zero vector stays zero.
+
+    The outer one-element transform holds the length, which is thus computed once per vector
+    and not once per element.
+    """
+    size = F.array(F.greatest(norm(v), F.lit(NORM_FLOOR)))
+    return F.get(F.transform(size, lambda s: F.transform(v, lambda x: x.cast("double") / s)), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -78,3 +80,20 @@ def hot_safe_join(
         ),
     )
     return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt", "_hot")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session, once.
+
+    Does what `--py-files` does at submission, for sessions that were started without it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_logloom_shipped", False):
+        return
+    folder = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="logloom-code-")) / "logloom-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(folder.rglob("*.py")):
+            out.write(source, source.relative_to(folder.parent))
+    context.addPyFile(str(archive))
+    context._logloom_shipped = True
