@@ -30,7 +30,7 @@ def volatility(spark, folder):
 
 
 _ROWS = f"""{EVENT_LOGS}, {BURST_SQL}, {DELTA_SQL}, {VOLATILITY_SQL}, {entropy_sql('lg', 'event_id', 'template_str')},
-fr AS (SELECT *, CASE level WHEN 'ERROR' THEN 4.0 WHEN 'WARN' THEN 2.5 ELSE 2.0 END AS level_ordinal FROM lg
+fr AS (SELECT *, CAST(CASE level WHEN 'ERROR' THEN 4.0 WHEN 'WARN' THEN 2.5 ELSE 2.0 END AS DOUBLE) AS level_ordinal FROM lg
        JOIN bu USING (event_id) JOIN de USING (event_id) JOIN vo USING (event_id) JOIN en USING (event_id))"""
 
 
@@ -38,7 +38,7 @@ fr AS (SELECT *, CASE level WHEN 'ERROR' THEN 4.0 WHEN 'WARN' THEN 2.5 ELSE 2.0
     "feature_rows",
     f"""WITH {_ROWS}
 SELECT event_id, entropy, burstiness, volatility, time_delta, level_ordinal, CAST(394 AS INT) AS width,
-  CAST(http_status // 100 = 5 AS INT) AS last_flag, 1.0 AS vector_length FROM fr""",
+  CAST(http_status // 100 = 5 AS INT) AS last_flag, CAST(1 AS DOUBLE) AS vector_length FROM fr""",
 )
 def feature_rows(spark, folder):
     rows = features.feature_rows(event_logs(spark, folder))
@@ -53,7 +53,7 @@ def feature_rows(spark, folder):
     "template_stats",
     f"""WITH {EVENT_LOGS}
 SELECT template_id, template_str, count(*) AS n_logs, count(DISTINCT service) AS n_services,
-  count_if(http_status BETWEEN 500 AND 599) AS n_5xx, count_if(http_status BETWEEN 400 AND 499) AS n_4xx
+  CAST(count_if(http_status BETWEEN 500 AND 599) AS BIGINT) AS n_5xx, CAST(count_if(http_status BETWEEN 400 AND 499) AS BIGINT) AS n_4xx
 FROM lg GROUP BY ALL""",
 )
 def template_stats(spark, folder):
@@ -111,8 +111,8 @@ def ingest_stats(spark, folder):
 
 @query(
     "kb_stats",
-    """SELECT 'templates' AS collection, count(*) AS n, count_if(label IS NOT NULL AND label > 2) AS n_labelled FROM embeddings
-UNION ALL SELECT 'anomalies', count(*), count_if(event_type <> 'view') FROM events
+    """SELECT 'templates' AS collection, count(*) AS n, CAST(count_if(label IS NOT NULL AND label > 2) AS BIGINT) AS n_labelled FROM embeddings
+UNION ALL SELECT 'anomalies', count(*), CAST(count_if(event_type <> 'view') AS BIGINT) FROM events
 UNION ALL SELECT 'baselines', count(*), 0 FROM documents""",
 )
 def kb_stats(spark, folder):
@@ -195,7 +195,7 @@ def threshold_score(spark, folder):
     f"""WITH {TELEMETRY}
 SELECT 'ANOMALY_' || event_id AS template_id, label || ' anomaly on ' || src || ' service. Severity=' || lower(severity) || '. ErrorCode=' || err
   || '. ResponseTime=' || resp || 'ms. CPU=' || cpu || '% Memory=512MB Disk=7% ServiceType=web' AS template_str, CAST(1 AS BIGINT) AS frequency,
-  value AS avg_volatility, CASE WHEN lower(severity) IN ('high', 'critical') AND kd > 0 THEN 1.0 ELSE 0.0 END AS error_rate, false AS is_golden, label
+  value AS avg_volatility, CASE WHEN lower(severity) IN ('high', 'critical') AND kd > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS error_rate, false AS is_golden, label
 FROM te WHERE label <> ''""",
 )
 def labelled_records(spark, folder):

@@ -226,7 +226,7 @@ r AS (
   SELECT 'text' AS origin, line, CAST(NULL AS INT) AS http_status, NULL AS service FROM el
   UNION ALL SELECT 'generic', strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || level || ' unknown event_id=' || event_id || ' event_type=' || event_type, NULL, 'unknown' FROM el
   UNION ALL SELECT 'access', strftime(stamp, '%Y-%m-%d %H:%M:%S') || ' ' || CASE WHEN status < 400 THEN 'INFO' WHEN status < 500 THEN 'WARN' ELSE 'ERROR' END
-  || ' ' || usr || ' GET ' || coalesce(nullif(regexp_extract(request, '^\\S+\\s+(\\S+)', 1), ''), '/') || ' status=' || status || ' bytes=' || bytes || ' rt=' || rt || 'ms', status, usr FROM ac)
+  || ' ' || usr || ' GET ' || coalesce(nullif(regexp_extract(request, '^\\S+\\s+(\\S+)', 1), ''), '/') || ' status=' || status || ' bytes=' || bytes || ' rt=' || rt || 'ms', CAST(status AS INT), usr FROM ac)
 SELECT * FROM r""",
 )
 def log_dir_roundtrip(spark, folder):
@@ -301,7 +301,7 @@ def dynamic_params(spark, folder):
 
 @query(
     "numeric_params",
-    f"""WITH {EVENT_LINES} SELECT event_id, CAST(4 AS INT) AS n, value AS a, -CAST(k AS DOUBLE) AS b, CAST(event_id AS DOUBLE) AS c, 1500.0 AS d FROM el""",
+    f"""WITH {EVENT_LINES} SELECT event_id, CAST(4 AS INT) AS n, value AS a, -CAST(k AS DOUBLE) AS b, CAST(event_id AS DOUBLE) AS c, CAST(1500 AS DOUBLE) AS d FROM el""",
 )
 def numeric_params(spark, folder):
     raw = F.to_json(F.array(F.col("value").cast("string"), F.concat(F.lit("host-"), "k"), F.lit("none"), F.concat(F.lit("#"), "event_id"), F.lit("1.5e3ms")))
@@ -321,7 +321,7 @@ def entropy(spark, folder):
 @query(
     "level_http_features",
     f"""WITH {ACCESS}
-SELECT page_id, CASE WHEN status < 400 THEN 2.0 WHEN status < 500 THEN 2.5 ELSE 4.0 END AS level_ordinal, 2.0 AS unknown_ordinal,
+SELECT page_id, CAST(CASE WHEN status < 400 THEN 2.0 WHEN status < 500 THEN 2.5 ELSE 4.0 END AS DOUBLE) AS level_ordinal, CAST(2 AS DOUBLE) AS unknown_ordinal,
   concat_ws(',', CAST(status // 100 = 1 AS INT), CAST(status // 100 = 2 AS INT), CAST(status // 100 = 3 AS INT), CAST(status // 100 = 4 AS INT), CAST(status // 100 = 5 AS INT)) AS http_vec,
   CAST(epoch_us(stamp) AS DOUBLE) / 1e6 AS unix, usr AS service FROM ac""",
 )
