@@ -10,6 +10,7 @@ from catalog.views import (
 )
 from logloom.functions import text, vectors
 from logloom.operators import features, kb, scaling, stats, windows
+from logloom.session import cut
 from logloom.sources import tabular
 
 
@@ -41,7 +42,7 @@ SELECT event_id, entropy, burstiness, volatility, time_delta, level_ordinal, CAS
   CAST(http_status // 100 = 5 AS INT) AS last_flag, CAST(1 AS DOUBLE) AS vector_length FROM fr""",
 )
 def feature_rows(spark, folder):
-    rows = features.feature_rows(event_logs(spark, folder))
+    rows = features.feature_rows(cut(event_logs(spark, folder, deal=True)))
     return rows.select(
         "event_id", *features.SCALARS, F.size("features").alias("width"),
         F.element_at("features", -1).cast("int").alias("last_flag"),
@@ -84,7 +85,7 @@ SELECT template_id, min_by(template_str, line_number) AS template_str, count(*)
 FROM fr GROUP BY template_id""",
 )
 def template_baseline(spark, folder):
-    base = stats.template_baseline(features.scalar_features(event_logs(spark, folder)))
+    base = stats.template_baseline(features.scalar_features(cut(event_logs(spark, folder, deal=True))))
     means = ["avg_entropy", "avg_burstiness", "avg_volatility", "avg_time_delta", "error_rate"]
     return base.withColumns({c: F.round(c, 6) for c in means})
 

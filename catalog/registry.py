@@ -1,5 +1,7 @@
 """Registered queries and their SQL."""
 
+from logloom.session import spread
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,5 +16,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark, folder: str, name: str):
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark, folder: str, name: str, deal: bool = True):
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if deal else rows

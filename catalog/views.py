@@ -12,15 +12,15 @@ from logloom.operators.parse import with_row_ids
 DENSE = 500
 
 
-def timed_events(spark, folder):
-    return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+def timed_events(spark, folder, deal=True):
+    return table(spark, folder, "events", deal).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _level():
     return F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "WARN").otherwise("INFO")
 
 
-def event_lines(spark, folder):
+def event_lines(spark, folder, deal=True):
     """events as log lines: (source_file, line_number, line) plus the event's own columns."""
     k = F.get_json_object("props", "$.k")
     line = F.concat(
@@ -28,7 +28,7 @@ def event_lines(spark, folder):
         F.lit(" "), F.col("event_type"), F.lit(" took "), F.col("value"), F.lit(" ms k="), k,
     )
     return (
-        timed_events(spark, folder)
+        timed_events(spark, folder, deal)
         .withColumn("source_file", F.lit("events"))
         .withColumn("line_number", F.col("event_id") + 1)
         .withColumn("k", k)
@@ -47,7 +47,7 @@ el AS (
 """
 
 
-def event_logs(spark, folder, dense: bool = True):
+def event_logs(spark, folder, dense: bool = True, deal: bool = False):
     """events as rows of the log table; the template is the event type, the service the user."""
     us = F.unix_micros("ts")
     start = F.lit(1_704_067_200_000_000)  # 2024-01-01
@@ -55,7 +55,7 @@ def event_logs(spark, folder, dense: bool = True):
         F.timestamp_seconds(F.floor((us - start) / F.lit(DENSE * 1_000_000)) + F.lit(1_704_067_200)) if dense else F.col("ts")
     )
     status = (F.lit(100) + F.lit(100) * F.pmod(F.col("k").cast("int"), F.lit(5)) + 4).cast("int")
-    rows = event_lines(spark, folder).select(
+    rows = event_lines(spark, folder, deal).select(
         "source_file", "line_number", F.col("line").alias("raw_line"), moment.alias("timestamp"), _level().alias("level"),
         F.concat(F.lit("svc_"), "user_id").alias("service"), F.col("event_type").alias("template_id"),
         F.concat(F.lit("svc <*> "), "event_type", F.lit(" took <DURATION> k <*>")).alias("template_str"),

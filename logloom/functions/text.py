@@ -89,14 +89,30 @@ def params_from_json(text: Column) -> Column:
 def entropy(text: Column) -> Column:
     """Character entropy over log2(length), in [0, 1]; 0 for fewer than two characters.
 
-    H = log2(n) - sum(c log2 c) / n; a character's count c is what the text loses without it.
+    H = log2(n) - sum(c log2 c) / n. Each distinct character is taken out of the text in turn;
+    its count c is what the text loses, so the text shrinks quickly. One-element transforms
+    hold the shortened text and its length, so neither is computed twice.
     """
     n = F.length(text).cast("double")
-    counts = F.transform(
-        F.array_distinct(F.split(text, "")),
-        lambda ch: (F.length(text) - F.length(F.replace(text, ch, F.lit("")))).cast("double"),
-    )
-    weighted = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + F.when(c > 0, c * F.log2(c)).otherwise(0.0))
+
+    def take_out(state: Column, ch: Column) -> Column:
+        shorter = F.transform(
+            F.array(F.replace(state["rest"], ch, F.lit(""))), lambda r: F.struct(r.alias("rest"), F.length(r).alias("left"))
+        )
+        lost = lambda r: (state["left"] - r["left"]).cast("double")
+        return F.get(
+            F.transform(
+                shorter,
+                lambda r: F.struct(
+                    r["rest"].alias("rest"), r["left"].alias("left"),
+                    (state["sum"] + F.when(lost(r) > 0, lost(r) * F.log2(lost(r))).otherwise(0.0)).alias("sum"),
+                ),
+            ),
+            F.lit(0),
+        )
+
+    start = F.struct(text.alias("rest"), F.length(text).alias("left"), F.lit(0.0).alias("sum"))
+    weighted = F.aggregate(F.array_distinct(F.split(text, "")), start, take_out, lambda s: s["sum"])
     share = (F.log2(n) - weighted / n) / F.log2(n)
     return F.when(
         F.length(text) > 1, F.round(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)), 6)

@@ -44,6 +44,16 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than the session has cores, dealt out to all cores.
+
+    Text work costs far more than the shuffle of a few small files; inputs that already have
+    enough splits stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def hint_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint if the checked row count allows it; otherwise Spark shuffles."""
     return F.broadcast(df) if fits(df, max_rows) else df
