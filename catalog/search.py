@@ -25,7 +25,7 @@ FROM p, o GROUP BY term, n, al""",
 def bm25_index(spark, folder):
     docs = table(spark, folder, "documents")
     size = bm25.index_stats(docs, "text").first()
-    return bm25.index_terms(docs, "text").select(
+    return bm25.index_terms(docs, "text", size["n_docs"]).select(
         "term", "df", F.round("idf", 6).alias("idf"), F.lit(size["n_docs"]).cast("long").alias("n_docs"), F.round(F.lit(size["avg_dl"]), 6).alias("avg_dl")
     )
 

@@ -65,10 +65,11 @@ def hot_safe_join(
     key: str,
     weight: str,
     spread: F.Column,
+    how: str = "left",
     share: int = 1000,
     salts: int = 64,
 ) -> DataFrame:
-    """Left join to a unique-key table whose `weight` says how many left rows hold each key.
+    """Join to a unique-key table whose `weight` says how many left rows hold each key.
 
     Keys holding more than 1/`share` of all rows are hot. There can be at most `share` of
     them, so that list is safe to broadcast; their rows are spread over `salts` copies of
@@ -89,7 +90,14 @@ def hot_safe_join(
             ).otherwise(F.array(F.lit(0)))
         ),
     )
-    return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt", "_hot")
+    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt", "_hot")
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, spread: F.Column) -> DataFrame:
+    """Inner join to a unique-key table, safe for keys that many left rows share."""
+    left = cut(left)
+    held = left.groupBy(key).agg(F.count(F.lit(1)).alias("_held"))
+    return hot_safe_join(left, right.join(held, key), key, "_held", spread, "inner").drop("_held")
 
 
 def ship(spark: SparkSession) -> None:
