@@ -146,7 +146,7 @@ COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     ),
 )
 def scaler_fit(spark, folder):
-    fitted = scaling.fit_columns(table(spark, folder, "lineitem"), COLUMNS)
+    fitted = scaling.fit_columns(table(spark, folder, "lineitem", deal=False), COLUMNS)
     return fitted.select("name", *[F.round(c, 6).alias(c) for c in ("mean", "std", "scale")])
 
 
@@ -156,7 +156,7 @@ def scaler_fit(spark, folder):
     + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in COLUMNS) + " FROM lineitem, s",
 )
 def scaler_apply(spark, folder):
-    rows = table(spark, folder, "lineitem")
+    rows = table(spark, folder, "lineitem", deal=False)
     scaled = scaling.apply_columns(rows, scaling.fit_columns(rows, COLUMNS), COLUMNS)
     return scaled.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in COLUMNS])
 
@@ -184,7 +184,7 @@ t AS (SELECT quantile_cont(error, 0.95) AS thr FROM e)
 SELECT l_orderkey, l_linenumber, error > thr AS is_anomaly, round(greatest(least(error / (thr + 1e-9) / 2, 1.0), 0.0), 6) AS anomaly_score, round(thr, 6) AS threshold FROM e, t""",
 )
 def threshold_score(spark, folder):
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * F.col("l_discount")).alias("error"))
+    rows = table(spark, folder, "lineitem", deal=False).select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * F.col("l_discount")).alias("error"))
     threshold = scaling.exact_percentile(rows, "error", 0.95)
     return scaling.decide(rows, "error", threshold).select(
         "l_orderkey", "l_linenumber", "is_anomaly", F.round("anomaly_score", 6).alias("anomaly_score"), F.round(F.lit(threshold), 6).alias("threshold")
