@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 
 EMBEDDING_DIM = 384
 NORM_FLOOR = 1e-9
+CHUNK_CHARS = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,21 +52,26 @@ def hash_embedding(text: Column, dim: int = EMBEDDING_DIM) -> Column:
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        known: dict[str, tuple[int, float]] = {}
-        out = []
-        for value in texts:
-            vector = np.zeros(dim)
-            for word in re.findall(r"[a-z0-9]+", (value or "").lower()):
-                slot = known.get(word)
-                if slot is None:
-                    slot = known[word] = _slot(word, dim)
-                vector[slot[0]] += slot[1]
-            out.append((vector / max(np.linalg.norm(vector), NORM_FLOOR)).astype(np.float32))
-        return pd.Series(out)
+        texts = texts.fillna("")
+        # A few million characters at a time, however long the single texts are.
+        part = (texts.str.len().cumsum() // CHUNK_CHARS).to_numpy()
+        out = [row for _, some in texts.groupby(part) for row in _bags(some, dim)]
+        return pd.Series(out, dtype=object)
 
     return embed(text)
 
 
+def _bags(texts: pd.Series, dim: int) -> np.ndarray:
+    words = [re.findall(r"[a-z0-9]+", t.lower()) for t in texts]
+    sizes = [len(w) for w in words]
+    codes, distinct = pd.factorize(np.array([w for row in words for w in row], dtype=object))
+    slots = np.array([_slot(w, dim) for w in distinct]).reshape(-1, 2)
+    cells = np.repeat(np.arange(len(texts)), sizes) * dim + slots[codes, 0].astype(np.int64)
+    sums = np.bincount(cells, weights=slots[codes, 1], minlength=len(texts) * dim).reshape(len(texts), dim)
+    lengths = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    return (sums / np.maximum(lengths, NORM_FLOOR)).astype(np.float32)
+
+
 def embedder(encode):
     """Text column -> vector column from a batch encoder `list[str] -> 2-d array`."""
 
