@@ -150,3 +150,15 @@ def test_scan_order_reports_and_feature_files(spark, tmp_path):
     log_table.save_report(report, str(tmp_path / "reports"))
     loaded = log_table.load_reports(spark, str(tmp_path / "reports")).collect()
     assert len(loaded) == 2 and loaded[0]["report_file"] <= loaded[1]["report_file"] and loaded[0]["anomaly_ids"] == ["a"]
+
+
+def test_first_rows_with_ties_and_missing_times(spark):
+    from logloom.session import first_rows
+
+    rows = spark.range(0, 5000).select(
+        F.col("id"), F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("v")
+    )
+    order = [F.asc_nulls_last("v"), F.desc("id")]
+    for n in (1, 40, 1700, 4900):
+        got = [r["id"] for r in first_rows(rows, F.col("v"), order, n).collect()]
+        assert got == [r["id"] for r in rows.orderBy(*order).limit(n).collect()]
