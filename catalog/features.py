@@ -9,7 +9,7 @@ from catalog.views import (
     BURST_SQL, DELTA_SQL, EVENT_LOGS, TELEMETRY, VOLATILITY_SQL, entropy_sql, event_logs, telemetry_view, vectors_sql,
 )
 from logloom.functions import text, vectors
-from logloom.operators import features, kb, scaling, stats, windows
+from logloom.operators import features, scaling, stats, windows
 from logloom.session import cut
 from logloom.sources import tabular
 

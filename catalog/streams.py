@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import query, table
+from catalog.registry import query
 from catalog.views import BURST_SQL, DELTA_SQL, EVENT_LOGS, VOLATILITY_SQL, event_lines, event_logs
 from logloom.functions.text import numeric_params
-from logloom.session import cut, scratch_path
+from logloom.session import scratch_path
 from logloom.streaming import ingest, state
 
 

@@ -9,7 +9,7 @@ from logloom.functions.scalars import (
 )
 from logloom.functions.text import cap
 from logloom.schema import ACCESS_CSV
-from logloom.sources.text_lines import format_of, list_inputs, read_lines
+from logloom.sources.text_lines import format_of, list_inputs, numbered, position, read_lines
 
 # Column names that hold the time, the level and the service.
 TIME_NAMES = ["timestamp", "time", "datetime", "date", "ts", "created_at", "event_time"]
@@ -20,6 +20,7 @@ SHEET_LEVEL_NAMES = ["level", "severity", "log_level", "priority"]
 EMPTY_VALUES = ["", "-", "nan", "None"]
 NAMED_BELOW = 80
 TELEMETRY_LABEL = "Anomaly_Type"
+ROUTED = ["source_file", "line_number", "line", "http_status", "service"]
 
 
 def access_lines(rows: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def _pick(columns: list[str], names: list[str]) -> str | None:
 def _flatten(rows: DataFrame, times, levels, services, default_service: str, render) -> DataFrame:
     time_col, level_col, service_col = (_pick(rows.columns, n) for n in (times, levels, services))
     text = lambda name: trim_all(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")))
-    rest = [c for c in rows.columns if c not in (time_col, level_col, service_col, "_source_file")]
+    rest = [c for c in rows.columns if c not in (time_col, level_col, service_col, "_at")]
     parts = [F.when(~text(c).isin(EMPTY_VALUES), render(c, text(c))) for c in rest]
     line = F.concat(
         text(time_col) if time_col else F.lit(""), F.lit(" "),
@@ -148,7 +149,7 @@ def csv_dialect(head: str, separator: str = ",") -> str:
 
 
 def read_csv_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """CSV files of any dialect -> (source_file, line, http_status, service).
+    """CSV files of any dialect -> (source_file, line_number, line, http_status, service).
 
     Files with the same dialect and header are read together, so the plan grows with the
     number of layouts, not of files.
@@ -162,27 +163,28 @@ def read_csv_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     out = None
     for (dialect, separator, _), group in layouts.items():
         reader = spark.read.option("sep", separator).option("mode", "PERMISSIVE")
-        file_name = F.col("_metadata.file_name").alias("_source_file")
         if dialect == "access":
-            rows = access_lines(reader.schema(ACCESS_CSV).csv(group).select("*", file_name))
+            rows = access_lines(reader.schema(ACCESS_CSV).csv(group).select("*", position()))
         else:
             plain = reader.csv(group, header=True)
             service = "Source" if dialect == "telemetry" else _pick(plain.columns, SERVICE_NAMES)
             shown = telemetry_lines if dialect == "telemetry" else row_lines
-            rows = shown(plain.select("*", file_name))
+            rows = shown(plain.select("*", position()))
             rows = rows.withColumn("service", trim_all(F.col(f"`{service}`")) if service else F.lit(None).cast("string"))
         if "http_status" not in rows.columns:
             rows = rows.withColumn("http_status", F.lit(None).cast("int"))
-        part = rows.select(
-            F.col("_source_file").alias("source_file"), "line", F.col("http_status").cast("int").alias("http_status"),
-            or_default(F.col("service"), "unknown").alias("service"),
-        )
+        part = numbered(
+            rows.select(
+                "_at", "line", F.col("http_status").cast("int").alias("http_status"),
+                or_default(F.col("service"), "unknown").alias("service"),
+            )
+        ).select(*ROUTED)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def route(spark: SparkSession, path: str) -> DataFrame:
-    """Any supported input -> (source_file, line, http_status, service), no intermediate file.
+    """Any supported input -> (source_file, line_number, line, http_status, service), no intermediate file.
 
     Workbooks and paged documents come in as tables (`sheet_lines`, `page_lines`): their
     binary decoding is not part of this package.
@@ -197,7 +199,7 @@ def route(spark: SparkSession, path: str) -> DataFrame:
 
 def _plain_lines(spark: SparkSession, paths) -> DataFrame:
     return read_lines(spark, paths).select(
-        "source_file", "line", F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("service")
+        "source_file", "line_number", "line", F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("service")
     )
 
 

@@ -79,7 +79,7 @@ def test_masks(spark):
     ]
     got = [r[0] for r in values(spark, items, "string", text.mask_text(F.col("x")))]
     assert got == [
-        "from <IP> id <UUID>", "at <TIMESTAMP> took <DURATION> size <SIZE>", "mail <EMAIL> see <URL><PARAM>".replace("<URL><PARAM>", "<URL>"),
+        "from <IP> id <UUID>", "at <TIMESTAMP> took <DURATION> size <SIZE>", "mail <EMAIL> see <URL>",
         "<HTTP_REQUEST> by <USER_AGENT>", "?<PARAM>&<PARAM> end <NUM>",
     ]
     rows = spark.createDataFrame([(items[1],)], "x string")
