@@ -14,7 +14,7 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where none is configured."""
+    """The cluster's checkpoint folder. A private one stands in for it in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-"))
         current = context.getCheckpointDir()
     return current
@@ -39,6 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as Parquet to the shared folder and read on from there.
+
+    Cuts the lineage like a checkpoint, but later reads prune columns and push filters down.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether `df` has at most `max_rows` rows; reads no more than that bound."""
     return df.limit(max_rows + 1).count() <= max_rows
