@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from logloom.llm import simhash  # noqa: F401
+from logloom.llm import mixing, quality, simhash, urls  # noqa: F401
 from logloom.llm.registry import ORACLES, QUERIES  # noqa: F401
