@@ -112,7 +112,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     rows = stored(sized(docs, id, text, source), "sizes")
     sizes = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
     held = rows.agg(F.count(F.lit(1))).first()[0]
-    buckets = max(1, held // (CHUNK // 2))
+    buckets = max(1, held // (CHUNK // 10))
     mixed = F.xxhash64(F.lit(seed), "id", "hash")
     bucket = F.floor(F.shiftrightunsigned(mixed, 11) / 2.0 ** 53 * buckets).cast("long")
     full = rows.filter("size > 0").withColumn("_mixed", F.shiftrightunsigned(mixed, 11))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logloom.llm.registry import query, table
 
-SLICE_ROWS = 100_000  # a key with more probes is cut into slices of about this size
+SLICE_ROWS = 2_000  # a key with more probes is cut into slices of about this size
 HOT_SHARE = 100_000  # ... or of this part of all probes, if that is more; so at most this many keys per label are cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
