@@ -7,7 +7,6 @@ repeats. See `anchors` for how seeds and extensions meet without pairs.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
