@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from logloom.llm import lines, mixing, passages, quality, simhash, suffixes, tokens, urls  # noqa: F401
+from logloom.llm import benchmarks, lines, mixing, passages, quality, simhash, suffixes, tokens, urls  # noqa: F401
 from logloom.llm.registry import ORACLES, QUERIES  # noqa: F401
