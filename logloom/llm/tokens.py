@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from logloom.llm.mixing import _running
 from logloom.llm.registry import query, table
+from logloom.session import stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's public tokenizer cuts a text into pieces.
@@ -86,4 +87,4 @@ def under_limits(bins: DataFrame, limits: list[int]) -> DataFrame:
 
 @query("op10_token_counts")
 def op10_token_counts(spark, folder):
-    return answers(histogram(lengths(table(spark, folder, "documents"))))
+    return answers(stored(histogram(lengths(table(spark, folder, "documents"))), "histogram"))
