@@ -1,9 +1,9 @@
 """Anchors of repeated windows: what operators on long repeats share.
 
 A window is `window` units in a row (bytes or words). Of every window the smallest hash among its
-stretches of `k` units is an anchor, so two equal windows hold an equal anchor at an equal place. An
-anchor's context is the window's reach around it: up to window - k units before and `window` units
-from its start on. Where a whole context occurs twice, all its windows do. Contexts that meet others
+stretches of `k` units is its anchor, so two equal windows hold an equal anchor at an equal place. An
+anchor's context is what its windows span together. Where a whole context occurs twice, all its windows
+do. Contexts that meet others
 under the same anchor without being equal are the borders of repeats, and only those are looked at
 unit by unit. A text is known by its hash; copies give equal contexts and need no care.
 """
@@ -20,6 +20,7 @@ from logloom.llm.words import CODES, Sequence, byte_array, mix, winnow, word_bou
 from logloom.session import hint_small, stored
 
 PACKED = 1 << 32  # a span is start * PACKED + end
+SMALL = 1 << 16  # contexts have fewer units: windows must be under half of it
 
 
 def byte_units(text: str | None) -> np.ndarray:
@@ -36,18 +37,25 @@ def key(text: Column) -> Column:
 
 
 def _anchors(codes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, context hash and place of every anchor."""
+    """Anchor hash, context hash and place of every anchor. A place packs the context's start, the units in
+    it before the anchor, and its size."""
     if len(codes) < window:
         none = np.zeros(0, dtype=np.uint64)
         return none, none, np.zeros(0, dtype=np.int64)
     sequence = Sequence(codes)
     grams = sequence.grams(k)
-    at = winnow(grams, window - k + 1)
-    start, end = np.maximum(at - (window - k), 0), np.minimum(at + window, len(codes))
+    at, first, last = winnow(grams, window - k + 1)
+    shape = (at - first) * SMALL + last - first + window
     with np.errstate(over="ignore"):
-        place = (at - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (end - start).astype(np.uint64)
-        context = mix(mix(sequence.stretches(start, end)) + place)
-    return grams[at], context, at
+        context = mix(mix(sequence.stretches(first, last + window)) + shape.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return grams[at], context, first * PACKED + shape
+
+
+def unpacked(places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of the context, units before the anchor, end of the context."""
+    places = np.asarray(places, dtype=np.int64)
+    start, shape = places // PACKED, places % PACKED
+    return start, shape // SMALL, start + shape % SMALL
 
 
 def shared(docs: DataFrame, text: str, units: Callable, window: int, k: int) -> DataFrame:
@@ -58,17 +66,17 @@ def shared(docs: DataFrame, text: str, units: Callable, window: int, k: int) ->
             found = [_anchors(units(t), window, k) for t in batch["text"]]
             yield pd.DataFrame({
                 "key": batch["key"], "a": [f[0].view(np.int64) for f in found], "c": [f[1].view(np.int64) for f in found],
-                "at": [f[2].astype(np.int32) for f in found],
+                "at": [f[2] for f in found],
             })
 
     long = docs.select(key(F.col(text)).alias("key"), F.col(text).alias("text")).filter(F.octet_length("text") >= window)
-    rows = stored(long.mapInPandas(find, "key binary, a array<bigint>, c array<bigint>, at array<int>").filter(F.size("a") > 0), "anchors")
+    rows = stored(long.mapInPandas(find, "key binary, a array<bigint>, c array<bigint>, at array<bigint>").filter(F.size("a") > 0), "anchors")
     twice = rows.select(F.explode("a").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
     each = rows.select("key", F.explode(F.arrays_zip("a", "c", "at")).alias("x")).select("x.a", "x.c", "key", "x.at")
     return stored(each.join(twice, "a"), "shared")
 
 
-def split(found: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+def split(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What `shared` says by itself, (key, span), and the border contexts (key, at, a, n, others).
 
     A border context is given once, at its first place, with the number of its occurrences and of the
@@ -76,8 +84,8 @@ def split(found: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
     """
     contexts = stored(found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("first")), "contexts")
     whole = found.join(contexts.filter("n > 1").select("a", "c"), ["a", "c"])
-    low = F.greatest(F.lit(0), F.col("at") - (window - k)).cast("long")
-    spans = whole.select("key", (low * PACKED + F.col("at") + window).alias("span"))
+    start = F.shiftright("at", 32)
+    spans = whole.select("key", (start * PACKED + start + F.col("at") % SMALL).alias("span"))
     several = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("others")).filter("others > 1")
     borders = contexts.join(several, "a").select("first.key", "first.at", "a", "n", "others")
     return spans, stored(borders, "borders")
@@ -91,27 +99,26 @@ def texts_of(docs: DataFrame, text: str, borders: DataFrame) -> DataFrame:
     return long.join(hint_small(held.select("key")), "key").dropDuplicates(["key"]).join(held, "key")
 
 
-def extended(texts: DataFrame, units: Callable, window: int, k: int) -> DataFrame:
+def extended(texts: DataFrame, units: Callable, window: int) -> DataFrame:
     """(key, span): windows of border contexts that occur elsewhere.
 
-    Every border context is extended both ways, by each number of units before the anchor with the
-    rest after it. Extensions meet under (anchor, units before, hash), so they are counted, not paired.
+    Every border context is extended both ways, for each of its windows by the units before the anchor and
+    the rest after it. Extensions meet under (anchor, units before, hash), so they are counted, not paired.
     """
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, text, at, a, n in zip(batch["key"], batch["text"], batch["at"], batch["a"], batch["n"]):
-                codes = units(text)
-                hashes = mix(Sequence(codes).grams(window)).view(np.int64)
-                at, a, n = (np.asarray(x, dtype=np.int64) for x in (at, a, n))
-                for some in range(0, len(at), 512):
-                    start = at[some:some + 512, None] - np.arange(window - k + 1)
-                    fits = (start >= 0) & (start < len(hashes))
-                    before = np.broadcast_to(np.arange(window - k + 1), start.shape)[fits]
-                    count = fits.sum(axis=1)
+                hashes = mix(Sequence(units(text)).grams(window)).view(np.int64)
+                first, before, end = unpacked(at)
+                a, n = (np.asarray(x, dtype=np.int64) for x in (a, n))
+                for some in (slice(x, x + 512) for x in range(0, len(first), 512)):
+                    count = end[some] - first[some] - window + 1
+                    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    start = np.repeat(first[some], count) + step
                     yield pd.DataFrame({
-                        "key": [name] * len(before), "start": start[fits], "a": np.repeat(a[some:some + 512], count),
-                        "before": before.astype(np.int32), "hash": hashes[start[fits]], "n": np.repeat(n[some:some + 512], count),
+                        "key": [name] * len(start), "start": start, "a": np.repeat(a[some], count),
+                        "before": (np.repeat(before[some], count) - step).astype(np.int32), "hash": hashes[start], "n": np.repeat(n[some], count),
                     })
 
     rows = stored(texts.mapInPandas(reach, "key binary, start bigint, a bigint, before int, hash bigint, n bigint"), "extensions")

@@ -27,8 +27,8 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     none; repeated rows are copies of each other; other columns are ignored; no rows give none.
     """
     found = shared(docs, text, word_units, window, seed)
-    spans, borders = split(found, window, seed)
-    spans = spans.unionByName(extended(texts_of(docs, text, borders), word_units, window, seed))
+    spans, borders = split(found)
+    spans = spans.unionByName(extended(texts_of(docs, text, borders), word_units, window))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

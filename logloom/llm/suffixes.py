@@ -17,13 +17,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from logloom.llm.anchors import PACKED, byte_units, covered, extended, shared, split, texts_of, with_spans
+from logloom.llm.anchors import PACKED, byte_units, covered, extended, shared, split, texts_of, unpacked, with_spans
 from logloom.llm.registry import query, table
 from logloom.llm.words import CODES, Sequence, byte_array
 from logloom.session import stored
 
 WINDOW, SEED = 200, 32  # bytes
-SHARD = 4096  # contexts of a shard, and of one anchor in it
+SHARD = 4096  # contexts of a shard; an anchor in it has at most twice as many
 WIDE = 1024  # alphabets above this are induced one suffix at a time
 
 
@@ -191,19 +191,19 @@ def repeated_windows(parts: list[bytes], place: np.ndarray, copies: np.ndarray,
     return np.split(offset[hit][order], np.cumsum(np.bincount(part[hit], minlength=len(parts)))[:-1])
 
 
-def _contexts(texts: DataFrame, window: int, k: int) -> DataFrame:
+def _contexts(texts: DataFrame) -> DataFrame:
     """(key, low, a, n, part): the bytes around every border anchor, from byte `low` of the text on."""
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, text, at, a, n in zip(batch["key"], batch["text"], batch["at"], batch["a"], batch["n"]):
                 raw = text.encode()
-                low = np.maximum(np.asarray(at, dtype=np.int64) - (window - k), 0)
+                low, _, high = unpacked(at)
                 for some in range(0, len(low), 10_000):
-                    lows = low[some:some + 10_000].tolist()
+                    lows, highs = low[some:some + 10_000].tolist(), high[some:some + 10_000].tolist()
                     yield pd.DataFrame({
                         "key": [name] * len(lows), "low": lows, "a": a[some:some + 10_000], "n": n[some:some + 10_000],
-                        "part": [raw[x:y + window] for x, y in zip(lows, at[some:some + 10_000])],
+                        "part": [raw[x:y] for x, y in zip(lows, highs)],
                     })
 
     return texts.mapInPandas(take, "key binary, low bigint, a bigint, n bigint, part binary")
@@ -237,14 +237,13 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     of each other; other columns are ignored; no rows give none.
     """
     found = shared(docs, text, byte_units, window, seed)
-    spans, borders = split(found, window, seed)
-    few = borders.filter(F.col("others") <= shard)
-    # Texts with anchors that are too common go the way of extensions as well.
-    parts = stored(_contexts(texts_of(docs, text, few), window, seed), "parts")
+    spans, borders = split(found)
+    few = borders.filter(F.col("others") <= 2 * shard)
+    parts = stored(_contexts(texts_of(docs, text, few)), "parts")
     shards = max(1, -(-parts.count() // shard))
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).repartition(shards, "shard")
     spans = spans.unionByName(_in_shards(dealt, window)).unionByName(
-        extended(texts_of(docs, text, borders.filter(F.col("others") > shard)), byte_units, window, seed)
+        extended(texts_of(docs, text, borders.filter(F.col("others") > 2 * shard)), byte_units, window)
     )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -103,14 +103,15 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the smallest hash of every `width` neighbours, the leftmost of equal ones.
+def winnow(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the smallest hash of every `width` neighbours, the leftmost of equal ones, and the first
+    and last of the starts for which each is the smallest.
 
     Two sequences that agree on `width` neighbours select the same one there.
     """
     n = len(hashes)
     if n < width:
-        return np.zeros(0, dtype=np.int64)
+        return (np.zeros(0, dtype=np.int64),) * 3
     bits = np.uint64(max(1, (n - 1).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     least = (mix(hashes) & ~low) | np.arange(n, dtype=np.uint64)
@@ -120,4 +121,5 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
         least = np.minimum(least[:-step], least[step:])
         span += step
     chosen = (least & low).astype(np.int64)
-    return chosen[np.flatnonzero(np.diff(chosen, prepend=-1))]
+    first = np.flatnonzero(np.diff(chosen, prepend=-1))
+    return chosen[first], first, np.append(first[1:], len(chosen)) - 1
