@@ -99,7 +99,7 @@ _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 def _part(name: str, value: str) -> str:
     v = _TRIM.format(f"coalesce(CAST({value} AS VARCHAR), '')")
-    return f"CASE WHEN {v} NOT IN ('', '-', 'nan', 'None') THEN CASE WHEN length({v}) < 80 THEN '{name}=' || {v} ELSE {v} END END"
+    return f"CASE WHEN {v} NOT IN ('', '-', 'nan', 'None') THEN '{name}=' || {v} END"
 
 
 @query(

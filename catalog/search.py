@@ -221,7 +221,7 @@ def rag_context(spark, folder):
 @query(
     "incident_report",
     f"""WITH {_CASE}, c AS (SELECT count(*) AS n, max(least(value / (thr + 1e-9) / 2, 1)) AS m FROM lg, t WHERE value > thr),
-s AS (SELECT list_sort(list_distinct(list(service))) AS services, list(log_id ORDER BY number) AS ids FROM an)
+s AS (SELECT (SELECT list_sort(list_distinct(list(service))) FROM lg, t WHERE value > thr) AS services, list(log_id ORDER BY number) AS ids FROM an)
 SELECT 'Analyse the following production log anomalies and provide a complete incident report.' || E'\\n\\n' || context || E'\\n\\n---\\n\\nADDITIONAL QUERY: Why?\\n\\nDetected at: 2024-02-01 00:00:00 UTC\\nTotal anomalies in this batch: '
   || n || E'\\nHighest anomaly score: ' || printf('%.3f', m) || E'\\nAffected services: ' || array_to_string(services, ', ') || E'\\n\\nProvide a structured root cause analysis and remediation plan using these sections:\\n## Incident Summary\\n## Root Cause Analysis\\n## Business Impact Assessment\\n## Corrective Actions\\n## Correlated Patterns\\n## Confidence Level (High/Medium/Low)\\n' AS report_prompt,
   E'Write a 3-sentence executive summary (non-technical, action-oriented):\\n\\nAnomaly count: ' || n || E'\\nAffected services: ' || array_to_string(services, ', ') || E'\\nHighest severity score: ' || printf('%.3f', m) || E'\\nRoot causes detected: Under investigation\\n' AS summary_prompt,

@@ -21,10 +21,8 @@ MASKS = [
     ("<NUM>", r"\b\d{5,}\b"),
 ]
 WILDCARD = "<*>"
-# Characters that separate tokens besides white space, and list sizes.
+# Characters that separate tokens besides white space, and what counts as a number.
 EXTRA_DELIMITERS = "_/:=,;|"
-MAX_PARAMS = 32
-MAX_NUMERIC_PARAMS = 16
 NUMBER = r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
 
 
@@ -57,7 +55,7 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"[^\s{EXTRA_DELIMITERS}]+"), F.lit(0))
 
 
-def dynamic_params(message: Column, template: Column, extra: Column | None = None) -> Column:
+def dynamic_params(message: Column, template: Column, extra: Column | None = None, most: int | None = None) -> Column:
     """Message tokens at wildcard places, then tokens past the template's end, then `extra`."""
     m, t = tokens(message), tokens(template)
     paired = F.filter(
@@ -69,13 +67,14 @@ def dynamic_params(message: Column, template: Column, extra: Column | None = Non
         F.size(m) > F.size(t), F.slice(m, F.size(t) + 1, F.greatest(F.size(m) - F.size(t), F.lit(0)))
     ).otherwise(F.array().cast("array<string>"))
     parts = [at_wildcards, past_end] + ([extra] if extra is not None else [])
-    return F.slice(F.concat(*parts), 1, MAX_PARAMS)
+    return F.concat(*parts) if most is None else F.slice(F.concat(*parts), 1, most)
 
 
-def numeric_params(params: Column) -> Column:
-    """First number in each of the first 16 parameters, as doubles; others fall out."""
+def numeric_params(params: Column, most: int | None = None) -> Column:
+    """First number in each parameter, as doubles; parameters without one fall out."""
+    params = F.coalesce(params, F.array().cast("array<string>"))
     numbers = F.transform(
-        F.slice(F.coalesce(params, F.array().cast("array<string>")), 1, MAX_NUMERIC_PARAMS),
+        params if most is None else F.slice(params, 1, most),
         lambda p: F.regexp_extract(p, NUMBER, 0).try_cast("double"),
     )
     return F.filter(numbers, lambda x: x.isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.functions.scalars import http_flags, parse_timestamp, row_id, trim_all
 from logloom.functions.text import cap
+from logloom.schema import source_of
 
 # The four line shapes in the order they are tried, and their groups. Longer
 # level names come first, a time may carry a zone, and a syslog tag may carry its process id.
@@ -84,4 +85,5 @@ def parse_lines(lines: DataFrame, line: str = "line", year: int = 1900, raw_cap:
 
 
 def with_row_ids(df: DataFrame) -> DataFrame:
-    return df.withColumn("log_id", row_id(F.col("source_file"), F.col("line_number")))
+    """A row is known by its full path and line: two files of one name keep all their lines."""
+    return df.withColumn("log_id", row_id(F.col(source_of(df.columns)), F.col("line_number")))

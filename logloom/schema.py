@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 LOG_COLUMNS = [
     ("log_id", T.StringType()),
     ("line_number", T.LongType()),
+    ("source_path", T.StringType()),
     ("source_file", T.StringType()),
     ("raw_line", T.StringType()),
     ("timestamp", T.TimestampType()),
@@ -46,3 +47,8 @@ TEMPLATE_METRICS = [
 ]
 
 UNLABELLED = "unlabelled"
+
+
+def source_of(columns: list[str]) -> str:
+    """The column that tells sources apart: the full path; the name only where rows came from no file."""
+    return "source_path" if "source_path" in columns else "source_file"

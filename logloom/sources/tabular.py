@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logloom.functions.scalars import (
@@ -17,10 +20,10 @@ LEVEL_NAMES = ["level", "severity", "log_level", "loglevel", "priority"]
 SERVICE_NAMES = ["service", "source", "host", "component", "module", "logger"]
 SHEET_TIME_NAMES = ["timestamp", "time", "datetime", "date", "ts", "created_at"]
 SHEET_LEVEL_NAMES = ["level", "severity", "log_level", "priority"]
+SEPARATORS = [",", ";", "\t", "|"]
 EMPTY_VALUES = ["", "-", "nan", "None"]
-NAMED_BELOW = 80
 TELEMETRY_LABEL = "Anomaly_Type"
-ROUTED = ["source_file", "line_number", "line", "http_status", "service"]
+ROUTED = ["source_path", "source_file", "line_number", "line", "http_status", "service"]
 
 
 def access_lines(rows: DataFrame) -> DataFrame:
@@ -87,12 +90,9 @@ def _flatten(rows: DataFrame, times, levels, services, default_service: str, ren
 def row_lines(rows: DataFrame, value_cap: int | None = None) -> DataFrame:
     """Rows of unknown shape -> `time LEVEL service column=value ...`.
 
-    The first column with a known name is the time, level or service; empty values are left
-    out, and values of 80 characters or more appear without their column name.
+    The first column with a known name is the time, level or service; empty values are left out.
     """
-    render = lambda name, v: F.when(
-        F.length(v) < NAMED_BELOW, F.concat(F.lit(f"{name}="), v)
-    ).otherwise(cap(v, value_cap))
+    render = lambda name, v: F.concat(F.lit(f"{name}="), cap(v, value_cap))
     return _flatten(rows, TIME_NAMES, LEVEL_NAMES, SERVICE_NAMES, "unknown", render)
 
 
@@ -129,19 +129,37 @@ def cell_lines(table_rows: DataFrame, cells: str = "cells", page: str = "page",
     )
 
 
-def csv_heads(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
-    """(path, first line) of every file, found in one job; the result has one row per file."""
+def csv_heads(spark: SparkSession, paths: list[str]) -> list[tuple[str, str, bool]]:
+    """(path, first line, whether a line has an odd number of quotes) of every file, in one job.
+
+    Such a line starts or ends a cell that holds a line break. The result has one row per file.
+    """
     lines = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    heads = lines.filter("block = 0").groupBy("path").agg(F.min_by("value", "row").alias("head"))
-    return [(r["path"], r["head"]) for r in heads.orderBy("path").collect()]
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    heads = lines.groupBy("path").agg(
+        F.min_by(F.when(F.col("block") == 0, F.col("value")), F.when(F.col("block") == 0, F.col("row"))).alias("head"),
+        F.max(odd % 2 == 1).alias("broken"),
+    )
+    return [(r["path"], r["head"] or "", r["broken"]) for r in heads.orderBy("path").collect()]
+
+
+def separator_of(path: str, head: str) -> str:
+    """Tab for `.tsv`, else the separator that cuts the first line into most cells; comma if none does."""
+    if path.lower().endswith(".tsv"):
+        return "\t"
+    return max(SEPARATORS, key=lambda s: len(_cells(head, s)))
+
+
+def _cells(head: str, separator: str) -> list[str]:
+    return [c.strip() for c in next(csv.reader([head], delimiter=separator), [])]
 
 
 def csv_dialect(head: str, separator: str = ",") -> str:
     """`access` if the first cell is an IPv4 address, `telemetry` by its label column, else `generic`."""
-    cells = [c.strip().strip('"') for c in head.split(separator)]
+    cells = _cells(head, separator) or [""]
     numbers = cells[0].split(".")
     if len(numbers) == 4 and all(n.isdigit() for n in numbers):
         return "access"
@@ -149,20 +167,21 @@ def csv_dialect(head: str, separator: str = ",") -> str:
 
 
 def read_csv_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """CSV files of any dialect -> (source_file, line_number, line, http_status, service).
+    """CSV files of any dialect -> (source_path, source_file, line_number, line, http_status, service).
 
-    Files with the same dialect and header are read together, so the plan grows with the
-    number of layouts, not of files.
+    Quotes inside quoted cells are doubled. Files with the same dialect and header are read together, so
+    the plan grows with the number of layouts, not of files. Only files whose cells hold line breaks
+    are read unsplit; there `line_number` counts records.
     """
     paths = [paths] if isinstance(paths, str) else paths
     layouts: dict[tuple, list[str]] = {}
-    for path, head in csv_heads(spark, paths):
-        separator = "\t" if path.lower().endswith(".tsv") else ","
+    for path, head, broken in csv_heads(spark, paths):
+        separator = separator_of(path, head)
         dialect = csv_dialect(head, separator)
-        layouts.setdefault((dialect, separator, "" if dialect == "access" else head), []).append(path)
+        layouts.setdefault((dialect, separator, "" if dialect == "access" else head, broken), []).append(path)
     out = None
-    for (dialect, separator, _), group in layouts.items():
-        reader = spark.read.option("sep", separator).option("mode", "PERMISSIVE")
+    for (dialect, separator, _, broken), group in layouts.items():
+        reader = spark.read.option("sep", separator).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", broken)
         if dialect == "access":
             rows = access_lines(reader.schema(ACCESS_CSV).csv(group).select("*", position()))
         else:
@@ -184,7 +203,7 @@ def read_csv_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def route(spark: SparkSession, path: str) -> DataFrame:
-    """Any supported input -> (source_file, line_number, line, http_status, service), no intermediate file.
+    """Any supported input -> (source_path, source_file, line_number, line, http_status, service), no intermediate file.
 
     Workbooks and paged documents come in as tables (`sheet_lines`, `page_lines`): their
     binary decoding is not part of this package.
@@ -199,14 +218,23 @@ def route(spark: SparkSession, path: str) -> DataFrame:
 
 def _plain_lines(spark: SparkSession, paths) -> DataFrame:
     return read_lines(spark, paths).select(
-        "source_file", "line_number", "line", F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("service")
+        "source_path", "source_file", "line_number", "line", F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("service")
     )
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
 def route_folder(spark: SparkSession, folder: str) -> DataFrame | None:
-    """All text and CSV inputs directly in a folder; `_` names and unreadable files are skipped."""
+    """All text and CSV inputs directly in a folder; `_` names are no inputs. Workbooks and paged
+    documents are named in a warning: they come in as tables."""
     # File names only, one row per file.
-    files = list_inputs(spark, folder).filter(F.col("kind").isin("csv", "log")).orderBy("path").collect()
+    files = list_inputs(spark, folder).orderBy("path").collect()
+    skipped = [r["path"] for r in files if r["kind"] not in ("csv", "log")]
+    if skipped:
+        warnings.warn(f"decode these to tables first: {', '.join(skipped)}")
     logs = [r["path"] for r in files if r["kind"] == "log"]
     tables = [r["path"] for r in files if r["kind"] == "csv"]
     out = _plain_lines(spark, logs) if logs else None

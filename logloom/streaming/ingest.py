@@ -12,18 +12,33 @@ from logloom.functions.scalars import row_id
 def parsed_stream(spark: SparkSession, folder: str, glob: str = "*.log", files_per_trigger: int | None = None) -> DataFrame:
     """Parsed lines of files as they arrive; the checkpoint is the resume point.
 
-    A running stream has no global line number, so a line's id comes from its file, block and text.
+    Lines are numbered inside their block of the file. In a file of one block the number, and with it the
+    row id, is the batch reader's.
     """
     reader = spark.readStream.option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     lines = reader.text(folder).select(
-        F.col("value").alias("line"), F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_path"),
+        F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
     )
-    return parse_lines(lines).withColumn(
-        "log_id", row_id(F.concat_ws(":", "source_file", "block"), F.xxhash64("raw_line"))
+    numbered = lines.mapInPandas(
+        _numbered, "line string, source_path string, source_file string, block bigint, line_number bigint"
     )
+    place = F.when(F.col("block") == 0, F.col("source_path")).otherwise(F.concat_ws(":", "source_path", "block"))
+    return parse_lines(numbered).withColumn("log_id", row_id(place, F.col("line_number")))
+
+
+def _numbered(batches):
+    """The lines of a file's block come in order, one block after the other."""
+    last, count = None, 0
+    for batch in batches:
+        numbers = batch.groupby(["source_path", "block"], sort=False).cumcount() + 1
+        if len(batch):
+            same = (batch["source_path"] == (last or [None])[0]) & (batch["block"] == (last or [None, None])[1])
+            numbers = numbers + same.astype("int64") * count
+            last, count = (batch["source_path"].iloc[-1], batch["block"].iloc[-1]), int(numbers.iloc[-1])
+        yield batch.assign(line_number=numbers)
 
 
 def append_stream(parsed: DataFrame, path: str, checkpoint: str):

@@ -27,37 +27,46 @@ def _keep(state: GroupState, rows: pd.DataFrame) -> None:
         state.setTimeoutTimestamp(max(int(latest // 1000), mark) + IDLE_MS)
 
 
+def _in_window(times, counts, now: np.ndarray) -> np.ndarray:
+    """For sorted times the events of the last 10 s: stored ones at or before each, and those of the
+    batch up to it."""
+    past = np.asarray(times, dtype=np.int64)
+    upto = np.concatenate([[0], np.cumsum(np.asarray(counts, dtype=np.int64))])
+    stored = upto[np.searchsorted(past, now, "right")] - upto[np.searchsorted(past, now - BURST_US, "left")]
+    return stored + np.arange(1, len(now) + 1) - np.searchsorted(now, now - BURST_US, "left")
+
+
+def _with_times(times, counts, now: np.ndarray, oldest: int) -> tuple[list[int], list[int]]:
+    """Stored and new times in order, each once with its count, from `oldest` on: no later event may
+    be older than the watermark, so nothing before its window is needed again."""
+    every = np.concatenate([np.asarray(times, dtype=np.int64), now])
+    weight = np.concatenate([np.asarray(counts, dtype=np.int64), np.ones(len(now), dtype=np.int64)])
+    at, place = np.unique(every, return_inverse=True)
+    total = np.zeros(len(at), dtype=np.int64)
+    np.add.at(total, place, weight)
+    return at[at >= oldest].tolist(), total[at >= oldest].tolist()
+
+
 def _template_rows(key, frames, state: GroupState):
     if state.hasTimedOut:
         state.remove()
         return
     times, counts, n, mean, m2 = state.get if state.exists else ([], [], 0, 0.0, 0.0)
-    times, counts = list(times), list(counts)
     rows = _sorted(frames)
-    burst, spread = [], []
-    start, total = 0, sum(counts)
-    for us, numbers in zip(rows["us"], rows["numbers"]):
-        if pd.isna(us):
-            burst.append(1)
-        else:
-            us = int(us)
-            while start < len(times) and times[start] < us - BURST_US:
-                total -= counts[start]
-                start += 1
-            if times and start < len(times) and times[-1] == us:
-                counts[-1] += 1
-            else:
-                times.append(us)
-                counts.append(1)
-            total += 1
-            burst.append(total)
+    known = rows["us"].notna().to_numpy()
+    now = rows["us"].to_numpy()[known].astype(np.int64)
+    burst = np.ones(len(rows), dtype=np.int64)
+    burst[known] = _in_window(times, counts, now)
+    times, counts = _with_times(times, counts, now, state.getCurrentWatermarkMs() * 1000 - BURST_US)
+    spread = []
+    for numbers in rows["numbers"]:
         for x in numbers if numbers is not None else []:
             n += 1
             gap = x - mean
             mean += gap / n
             m2 += gap * (x - mean)
         spread.append(round(math.sqrt(max(m2 / n, 0.0)), 6) if n >= 2 else 0.0)
-    state.update((times[start:], counts[start:], n, mean, m2))
+    state.update((times, counts, n, mean, m2))
     _keep(state, rows)
     yield pd.DataFrame({
         "template_id": key[0], "source_file": rows["source_file"].to_numpy(),
@@ -96,8 +105,8 @@ def template_state(events: DataFrame, late: str = "1 minute") -> DataFrame:
     """Burstiness and volatility per event, with the state of a template kept across batches.
 
     Rows of one batch are put in time order first; how much one task holds is set by the
-    source's rate limit (`maxFilesPerTrigger`). An event older than the state counts no window
-    entries that were already dropped.
+    source's rate limit (`maxFilesPerTrigger`). A late event counts what came up to its own time; the
+    state keeps a key's distinct times as far back as the watermark and a window before it.
     """
     return (
         _timed(events, late)

@@ -62,7 +62,8 @@ def test_defaults_and_numbers(spark):
     got = values(spark, ['["500","host-1","x",".5","1e3"]', "{broken", None, "[]"], "string", text.numeric_params(text.params_from_json(F.col("x"))))
     assert [r[0] for r in got] == [[500.0, -1.0, 0.5, 1000.0], [], [], []]
     many = "[" + ",".join(f'"{i}"' for i in range(20)) + "]"
-    assert len(values(spark, [many], "string", text.numeric_params(text.params_from_json(F.col("x"))))[0][0]) == 16
+    assert len(values(spark, [many], "string", text.numeric_params(text.params_from_json(F.col("x"))))[0][0]) == 20
+    assert len(values(spark, [many], "string", text.numeric_params(text.params_from_json(F.col("x")), 16))[0][0]) == 16
 
 
 def test_fixed_rounds_like_python(spark):
@@ -94,7 +95,7 @@ def test_dynamic_params(spark):
     )
     got = [r[0] for r in rows.select(text.dynamic_params(F.col("m"), F.col("t"))).collect()]
     assert got[0] == ["500"] and got[1] == ["1", "b"] and got[2] == []
-    assert got[3] == [str(i) for i in range(32)]
+    assert got[3] == [str(i) for i in range(50)]
 
 
 def test_vectors(spark):

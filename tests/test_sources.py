@@ -79,10 +79,10 @@ def test_generic_rows(spark, tmp_path):
         'timestamp,level,service,message,extra\n2024-01-01,,api,hello,-\n2024-01-02,WARN,,' + "x" * 90 + ',nan\n,ERROR,db,,None\n'
     )
     got = lines_of(tabular.route(spark, str(tmp_path / "g.csv")))
-    assert got == [" ERROR db ", "2024-01-01  api message=hello", "2024-01-02 WARN  " + "x" * 90]
+    assert got == [" ERROR db ", "2024-01-01  api message=hello", "2024-01-02 WARN  message=" + "x" * 90]
     df = spark.createDataFrame([("v", "y" * 300)], "a string, b string")
-    assert lines_of(tabular.row_lines(df)) == [" INFO unknown a=v " + "y" * 300]
-    assert lines_of(tabular.row_lines(df, value_cap=200)) == [" INFO unknown a=v " + "y" * 200]
+    assert lines_of(tabular.row_lines(df)) == [" INFO unknown a=v b=" + "y" * 300]
+    assert lines_of(tabular.row_lines(df, value_cap=200)) == [" INFO unknown a=v b=" + "y" * 200]
 
 
 def test_sheets_and_pages(spark):
@@ -139,7 +139,7 @@ def test_scan_order_reports_and_feature_files(spark, tmp_path):
             rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
     scan = log_table.feature_scan(rows)
     assert scan.columns == FEATURE_SCAN and [r["log_id"] for r in scan.collect()] == ["b", "a", "c"]
-    assert [r["log_id"] for r in log_table.feature_scan(rows, "line_number > 1", 1).collect()] == ["b"]
+    assert [r["log_id"] for r in log_table.feature_scan(rows, "line_number > 1").collect()] == ["b", "c"]
     calls = []
     build = lambda: calls.append(1) or rows
     path = str(tmp_path / "features-1")
@@ -162,3 +162,23 @@ def test_first_rows_with_ties_and_missing_times(spark):
     for n in (1, 40, 1700, 4900):
         got = [r["id"] for r in first_rows(rows, F.col("v"), order, n).collect()]
         assert got == [r["id"] for r in rows.orderBy(*order).limit(n).collect()]
+
+
+def test_quotes_breaks_and_separators(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('level,message,code\nINFO,"He said ""hi, there"", ok",7\nWARN,plain,8\n')
+    (tmp_path / "b.csv").write_text('level,message,code\nINFO,"first\nsecond",7\nWARN,"plain",8\n')
+    (tmp_path / "s.csv").write_text("level;message;code\nINFO;a,b;7\n")
+    (tmp_path / "h.csv").write_text('"level","the, message"\nINFO,x\n')
+    got = {(r["source_file"], r["line_number"]): r["line"] for r in tabular.route_folder(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("q.csv", 1): ' INFO unknown message=He said "hi, there", ok code=7', ("q.csv", 2): " WARN unknown message=plain code=8",
+        ("b.csv", 1): " INFO unknown message=first\nsecond code=7", ("b.csv", 2): " WARN unknown message=plain code=8",
+        ("s.csv", 1): " INFO unknown message=a,b code=7", ("h.csv", 1): " INFO unknown the, message=x",
+    }
+
+
+def test_skipped_inputs_are_named(spark, tmp_path):
+    (tmp_path / "a.log").write_text("one\n")
+    (tmp_path / "b.xlsx").write_text("no")
+    with pytest.warns(UserWarning, match="b.xlsx"):
+        assert tabular.route_folder(spark, str(tmp_path)).count() == 1

@@ -83,3 +83,19 @@ def test_no_group_wider_than_a_cell(spark):
     plan = windows.template_windows(df, "template_id", "numeric_params")._jdf.queryExecution().optimizedPlan().toString()
     row_level = [l for l in plan.split("\n") if "Window [row_number()" in l]
     assert row_level and all("_us" in l and "_lines" in l for l in row_level)
+
+
+def test_late_event_in_a_stream(spark, tmp_path):
+    from logloom.streaming import state
+
+    shape = "template_id string, source_file string, line_number long, timestamp timestamp, numbers array<double>"
+    for batch in ([(100, 1), (101, 2)], [(50, 3)], [(104, 4), (55, 5), (110.5, 6)]):
+        rows = [("t", "f", n, float(s)) for s, n in batch]
+        spark.createDataFrame(rows, "template_id string, source_file string, line_number long, s double").select(
+            "template_id", "source_file", "line_number", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("timestamp"),
+            F.array().cast("array<double>").alias("numbers"),
+        ).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+        state.replay(state.template_state(stream, "1 day"), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = {r["line_number"]: r["burstiness"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 3, 5: 2, 6: 3}
