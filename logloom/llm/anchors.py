@@ -72,6 +72,8 @@ def shared(docs: DataFrame, text: str, units: Callable, window: int, k: int) ->
     long = docs.select(key(F.col(text)).alias("key"), F.col(text).alias("text")).filter(F.octet_length("text") >= window)
     rows = stored(long.mapInPandas(find, "key binary, a array<bigint>, c array<bigint>, at array<bigint>").filter(F.size("a") > 0), "anchors")
     twice = rows.select(F.explode("a").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    # A table of its own, so that the join below may be split where one anchor holds very many places.
+    twice = stored(twice, "repeated")
     each = rows.select("key", F.explode(F.arrays_zip("a", "c", "at")).alias("x")).select("x.a", "x.c", "key", "x.at")
     return stored(each.join(twice, "a"), "shared")
 
