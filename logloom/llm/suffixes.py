@@ -29,16 +29,9 @@ WIDE = 1024  # alphabets above this are induced one suffix at a time
 
 def _smaller(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one. The last symbol is the least of all."""
-    n = len(t)
-    differs = np.flatnonzero(t[1:] != t[:-1])
-    following = np.full(n, n - 1)
-    if len(differs):
-        nearest = np.searchsorted(differs, np.arange(n - 1))
-        known = nearest < len(differs)
-        following[:-1][known] = differs[nearest[known]]
-    small = np.ones(n, dtype=bool)
-    inner = following < n - 1
-    small[inner] = t[following[inner]] < t[following[inner] + 1]
+    ends = np.flatnonzero(t[1:] != t[:-1])  # of runs of one symbol, whose suffixes are all alike
+    small = np.ones(len(t), dtype=bool)
+    small[:-1] = np.repeat(t[ends] < t[ends + 1], np.diff(ends, prepend=-1))
     return small
 
 
@@ -46,7 +39,7 @@ def _put(sa: np.ndarray, edge: np.ndarray, where: np.ndarray, symbol: np.ndarray
     """Append suffixes to their symbols' buckets, in order, from the edge on in direction `step`."""
     if len(where) == 0:
         return
-    order = np.argsort(symbol, kind="stable")
+    order = np.argsort(symbol.astype(np.uint16), kind="stable")  # a radix sort; symbols are below WIDE
     symbol, where = symbol[order], where[order]
     first = np.flatnonzero(np.diff(symbol, prepend=-1))
     count = np.diff(first, append=len(symbol))
@@ -94,24 +87,29 @@ def _induce_one_by_one(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, top:
     n = len(t)
     counts = np.bincount(t, minlength=top)
     ends = np.cumsum(counts)
-    sa = [-1] * n
-    symbol, is_small = t.tolist(), small.tolist()
-    edge = (ends - 1).tolist()
-    for i in seeds[::-1].tolist():
-        sa[edge[symbol[i]]] = i
-        edge[symbol[i]] -= 1
+    sa = np.full(n, -1)
+    last = np.cumsum(np.bincount(t[seeds], minlength=top))
+    sa[ends[t[seeds]] - last[t[seeds]] + np.arange(len(seeds))] = seeds
+    sa = sa.tolist()
+    # The symbol before each suffix where that suffix is to be induced, else -1, as also for empty places (-1).
+    before = np.full(n + 1, -1)
+    before[1:n] = t[:-1]
+    is_small = np.zeros(n + 1, dtype=bool)
+    is_small[1:n] = small[:-1]
     edge = (ends - counts).tolist()
-    for j in range(n):
-        i = sa[j] - 1
-        if i >= 0 and not is_small[i]:
-            sa[edge[symbol[i]]] = i
-            edge[symbol[i]] += 1
+    symbol = np.where(is_small, -1, before).tolist()
+    for i in sa:
+        c = symbol[i]
+        if c >= 0:
+            sa[edge[c]] = i - 1
+            edge[c] += 1
     edge = (ends - 1).tolist()
-    for j in range(n - 1, -1, -1):
-        i = sa[j] - 1
-        if i >= 0 and is_small[i]:
-            sa[edge[symbol[i]]] = i
-            edge[symbol[i]] -= 1
+    symbol = np.where(is_small, before, -1).tolist()
+    for i in reversed(sa):
+        c = symbol[i]
+        if c >= 0:
+            sa[edge[c]] = i - 1
+            edge[c] -= 1
     sa[0] = n - 1
     return np.array(sa)
 
@@ -143,21 +141,24 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return induce(t, small, ordered, top)
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, where: np.ndarray | None = None) -> np.ndarray:
     """Permuted common prefixes: for each position, what its suffix shares with the one sorted before it,
-    as far as the next power of two above `most` shows."""
+    as far as the next power of two above `most` shows; only for the positions `where`, if given."""
     n = len(t)
     before = np.empty(n, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = n
-    here, there, shared_ = np.arange(n), before, np.zeros(n, dtype=np.int64)
+    here = np.arange(n) if where is None else where
+    there, found = before[here], np.zeros(len(here), dtype=np.int64)
     sequence = Sequence(CODES[t] if t.max() < len(CODES) else t.astype(np.uint64) + np.uint64(1))
     step = 1 << (most.bit_length() - 1)
     while step:
-        fits = np.flatnonzero(np.maximum(here, there) + shared_ + step <= n)
-        a, b = here[fits] + shared_[fits], there[fits] + shared_[fits]
-        shared_[fits[sequence.stretches(a, a + step) == sequence.stretches(b, b + step)]] += step
+        fits = np.flatnonzero(np.maximum(here, there) + found + step <= n)
+        a, b = here[fits] + found[fits], there[fits] + found[fits]
+        found[fits[sequence.stretches(a, a + step) == sequence.stretches(b, b + step)]] += step
         step >>= 1
+    shared_ = np.zeros(n, dtype=np.int64)
+    shared_[here] = found
     return shared_
 
 
@@ -173,13 +174,14 @@ def repeated_windows(parts: list[bytes], place: np.ndarray, copies: np.ndarray,
     t[:-1] += 2
     t[start + size] = 1
     sa = suffix_array(t)
-    shared_ = common_prefixes(t, sa, window)
+    part = np.repeat(np.arange(len(parts)), size + 1)  # of each position but the last
+    offset = np.arange(len(data)) - start[part]
+    whole = np.append(offset + window <= size[part], False)
+    # A whole window shares less than itself with a suffix whose part ends earlier, so others need no prefix.
+    shared_ = common_prefixes(t, sa, window, np.flatnonzero(whole))
     run = np.cumsum(shared_[sa] < window)
-    part = np.searchsorted(start, sa, side="right") - 1
-    part = np.minimum(part, len(parts) - 1)
-    offset = sa - start[part]
-    whole = offset + window <= size[part]
-    sa, run, part, offset = sa[whole], run[whole], part[whole], offset[whole]
+    run, sa = run[whole[sa]], sa[whole[sa]]
+    part, offset = part[sa], offset[sa]
     if not len(sa):
         return [sa] * len(parts)
     first = np.flatnonzero(np.diff(run, prepend=-1))
