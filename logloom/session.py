@@ -9,8 +9,9 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A side may be broadcast only below this many rows (and only when its rows are narrow).
+# A side may be broadcast only below this many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,9 +52,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether `df` has at most `max_rows` rows; reads no more than that bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether `df` has at most `max_rows` rows, and these at most `max_bytes` bytes written out as JSON;
+    counts no more rows than that bound."""
+    width = F.octet_length(F.to_json(F.struct("*")))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -67,7 +71,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def hint_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if the checked row count allows it; otherwise Spark shuffles."""
+    """Broadcast hint if the checked rows and bytes allow it; otherwise Spark shuffles."""
     return F.broadcast(df) if fits(df, max_rows) else df
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import bm25, knn, stats
 from logloom.operators.parse import parse_lines, with_row_ids
+from logloom.session import fits
 from logloom.sources import log_table
 
 
@@ -45,3 +46,8 @@ def test_no_pair_joins(spark, table):
 def test_aggregates_combine_before_the_shuffle(table):
     text = plan(stats.template_statistics(table))
     assert "partial_count" in text
+
+
+def test_small_side_is_checked_by_rows_and_bytes(spark):
+    rows = spark.createDataFrame([("x" * 1000, b"k", [1, 2]), (None, None, None)], "a string, b binary, c array<int>")
+    assert fits(rows) and fits(rows.limit(0)) and not fits(rows, max_rows=1) and not fits(rows, max_bytes=1000)
