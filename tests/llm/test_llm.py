@@ -261,3 +261,25 @@ def test_pipeline_stages(spark, docs, tmp_path):
     # 9 has 54 words, of which 24 repeat
     assert ids == [4, 9, 13] and len(words(TEXTS[4])) == next(r.size for r in got if r.doc_id == 4)
     assert re.fullmatch(WORD, "abc")
+
+
+def test_row_numbers_outlive_other_splits(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from logloom.session import stored
+
+    good = [prose(80) for _ in range(24)]
+    rows = [(i, good[i] if i % 3 else "short", "en", "s", 1) for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(8).write.parquet(str(tmp_path / "d"))
+    name, judge = "spark.sql.files.openCostInBytes", quality.judge
+
+    def judged(frame, **options):
+        out = stored(judge(frame, **options), "judged")
+        spark.conf.set(name, "1")  # later reads are split otherwise, as after a change in the number of cores
+        return out
+
+    monkeypatch.setattr(quality, "judge", judged)
+    try:
+        kept = corpus_pipeline.keep_good(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()
+    finally:
+        spark.conf.unset(name)
+    assert sorted(r.doc_id for r in kept) == [i for i in range(24) if i % 3]
