@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from logloom.llm import benchmarks, lines, mixing, passages, pii, quality, simhash, suffixes, tokens, urls
+from logloom.llm import benchmarks, copies, lines, mixing, passages, pii, quality, simhash, suffixes, tokens, urls
 from logloom.llm.graph import components
 from logloom.llm.words import WORD
 
@@ -283,3 +283,50 @@ def test_row_numbers_outlive_other_splits(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset(name)
     assert sorted(r.doc_id for r in kept) == [i for i in range(24) if i % 3]
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b) if a | b else True
+
+
+def grouped(sets):
+    """The smallest number of each set's component, by comparing all pairs."""
+    mine = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if mine[i] != mine[j] and alike(x, sets[j]):
+                low, high = sorted((mine[i], mine[j]))
+                mine = [low if m == high else m for m in mine]
+    return mine
+
+
+@pytest.mark.parametrize("frequent", [4, 1])
+def test_edited_copies_are_found(spark, monkeypatch, frequent):
+    monkeypatch.setattr(copies, "FREQUENT", frequent)
+    monkeypatch.setattr(copies, "SAMPLE", 4 if frequent > 1 else 1)
+    rng, texts = random.Random(9), [None, "", " ", "one two", "One  Two", prose(5)]
+    shared = prose(30)
+    for n in (20, 60, 150, 400):
+        for _ in range(6):
+            base = [prose(n) + " " + shared if rng.random() < 0.3 else prose(n)][0].split()
+            texts.append(" ".join(base))
+            for share in (0.005, 0.01, 0.02, 0.03, 0.04):
+                texts.append(" ".join(w if rng.random() > share else "new%d" % rng.randrange(9) for w in base))
+    base = prose(100).split()
+    texts += [" ".join(base[:k] + ["x%d" % k] + base[k:]) for k in range(0, 100, 2)]  # a long list of copies, one edit each
+    got = copies.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "doc_id").collect()
+    split = [words((t or "").lower()) for t in texts]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    want = grouped(sets)
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+    assert sum(m != i for i, m in enumerate(want)) > 100 and len(set(want)) > 30
+
+
+def test_pipeline_drops_edited_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    base = prose(200).split()
+    edited = base[:50] + ["new"] + base[51:120] + ["word"] + base[121:]
+    rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(edited), "en", "s", 1), (3, prose(200), "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()) == [1, 3]
