@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Word n-grams of the test items are looked for in every document. A bit table of fixed size, filled from
 the items' n-grams, goes to the executors and lets nearly nothing else through; what passes is joined
-with the items' n-grams exactly. Of an item's n-grams those are its seeds that are no more frequent in
-the corpus than the item's median n-gram, so that at least half remain however often it was copied.
-Where a document holds seeds of an item, the stretch around them is aligned with the item word by word,
-and the share of the item's words that the best local alignment wins decides.
+with the items' n-grams exactly. Every n-gram of an item is a seed, however frequent, so no copy loses its
+only one; a copy with every fourth word changed still has seeds of three words. Where a document holds
+seeds of an item, the stretch around them is aligned with the item word by word, unless it has too few of
+the item's words for any alignment to reach the threshold; the share of the item's words that the best
+local alignment wins decides.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from logloom.llm.registry import query, table
 from logloom.llm.words import Sequence, byte_array, lower, mix, word_bounds, word_codes
 from logloom.session import stored
 
-N = 4  # words of a seed
+N = 3  # words of a seed
 TABLE_BITS = 23  # the bit table has 2^23 bits, 1 MB
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5  # score of the best alignment, as a share of the item's own
@@ -93,16 +94,19 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
     key = F.unhex(F.md5(F.col(text)))
     rows = docs.select(key.alias("key"), F.col(text).alias("text")).filter("text is not null")
     hits = stored(_grams(rows, "key", "binary", n, bit_table(wanted)).dropDuplicates(), "gram-hits")
-    frequency = hits.join(wanted.select("gram").distinct(), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    known = wanted.select("item", "gram").distinct().join(frequency, "gram", "left").fillna(0, ["df"])
-    median = known.groupBy("item").agg(F.expr("percentile_approx(df, 0.5, 10000)").alias("median"))
-    seeds = stored(known.join(median, "item").filter("df <= median and df > 0").select("item", "gram"), "seeds")
     # Per text and item, the places of seeds: at most a text's words times the items that share a seed.
-    met = hits.join(seeds, "gram").groupBy("key", "item").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    per_text = stored(met.groupBy("key").agg(F.collect_list(F.struct("item", "at")).alias("met")), "met")
+    per_gram = hits.groupBy("key", "gram").agg(F.collect_set("at").alias("places"))
+    met = per_gram.join(wanted.select("item", "gram").distinct(), "gram").groupBy("key", "item").agg(F.flatten(F.collect_list("places")).alias("at"))
+    per_text = stored(met.groupBy("key").agg(F.collect_list(F.struct("item", F.sort_array("at").alias("at"))).alias("met")), "met")
     texts = rows.join(per_text.select("key"), "key", "left_semi").dropDuplicates(["key"])
     held = per_text.join(texts, "key").select("key", "text", F.explode("met").alias("m"))
 
+    # An alignment scores at most what the item's words that the stretch has at all would score.
+    def worth(wanted_words: np.ndarray, stretch: np.ndarray) -> float:
+        if np.isin(wanted_words, stretch).sum() < threshold * len(wanted_words):
+            return 0.0
+        return align(wanted_words, stretch)
+
     # The words around the seeds, apart where seeds lie more than two items' lengths from each other.
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -113,7 +117,7 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
                 at, reach = np.asarray(places, dtype=np.int64), 2 * len(wanted_words)
                 cuts = np.flatnonzero(np.diff(at) > reach)
                 first, last = at[np.append(0, cuts + 1)], at[np.append(cuts, len(at) - 1)]
-                score = max(align(wanted_words, words[max(0, a - reach):b + reach + n]) for a, b in zip(first, last))
+                score = max(worth(wanted_words, words[max(0, a - reach):b + reach + n]) for a, b in zip(first, last))
                 if score >= threshold:
                     yield pd.DataFrame({"key": [name], "item": [test], "score": [score]})
 
