@@ -117,22 +117,38 @@ def _meet(long: DataFrame, crowded: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS,
-             min_count: int = MIN_COUNT, list_limit: int = LIST_LIMIT) -> tuple[DataFrame, DataFrame]:
+             min_count: int = MIN_COUNT, list_limit: int = LIST_LIMIT, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The occurrences to remove (id, doc, at), and per line text (a, b, n_links).
 
     A line text that occurs at least `min_count` times keeps its first occurrence only. Of two linked
     texts that together occur so often, the one that comes first later goes altogether. Occurrences
     are ordered by id (null last), hash of the text, line number; equal rows share their fate.
+
+    `groups`: (doc, grp), the group of copies of each text, by its hash. A group then counts
+    a line as often as one of its documents holds it, and the documents of the group of the first
+    occurrence keep the line, each once: copies stay copies.
     """
     lines = _with_lines(docs, id, text)
-    seen = stored(lines.drop("line"), "lines")
+    seen = lines.drop("line")
+    seen = stored(seen if groups is None else seen.join(hint_small(groups), "doc"), "lines")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "doc", "at")
-    classes = stored(seen.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "line-classes")
+    if groups is None:
+        classes = seen.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    else:
+        once = stored(seen.groupBy("a", "b", "grp", "id", "doc").agg(F.countDistinct("at").alias("n"), F.min("at").alias("at")), "lines-of-documents")
+        classes = once.groupBy("a", "b", "grp").agg(F.max("n").alias("n"), F.min(place).alias("first"))
+        classes = classes.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min(F.struct("first", "grp")).alias("f")).select("a", "b", "n", "f.first", "f.grp")
+    classes = stored(classes, "line-classes")
     pairs = stored(links(lines.select("a", "b", "line"), threshold, min_chars, list_limit), "line-links")
     degree = pairs.select("a", "b").union(pairs.select("c", "d")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_links"))
     one = classes.select("a", "b", F.col("n").alias("n1"), F.col("first").alias("first1"))
     two = classes.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("n").alias("n2"), F.col("first").alias("first2"))
+    if groups is not None:
+        one, two = (side.join(classes.select(F.col("a").alias(x), F.col("b").alias(y), F.col("grp").alias(g)), [x, y]) for side, x, y, g in ((one, "a", "b", "grp1"), (two, "c", "d", "grp2")))
     both = pairs.join(one, ["a", "b"]).join(two, ["c", "d"]).filter(F.col("n1") + F.col("n2") >= min_count)
+    held = seen.join(degree, ["a", "b"]).groupBy("id", "doc").agg(F.sum("n_links").alias("n_links"))
+    if groups is not None:
+        return _gone_in_groups(seen, once, classes, both, min_count), held
     late = F.when(F.col("first1") < F.col("first2"), F.struct(F.col("c").alias("a"), F.col("d").alias("b"))).otherwise(F.struct("a", "b"))
     late = both.select(late.alias("late")).select("late.a", "late.b").distinct().withColumn("late", F.lit(True))
     doomed = classes.join(late, ["a", "b"], "left").filter(F.coalesce("late", F.lit(False)) | (F.col("n") >= max(2, min_count)))
@@ -140,10 +156,35 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold:
         seen.join(doomed.select("a", "b", "first", "late"), ["a", "b"])
         .filter(F.coalesce("late", F.lit(False)) | (place != F.col("first"))).select("id", "doc", "at")
     )
-    held = seen.join(degree, ["a", "b"]).groupBy("id", "doc").agg(F.sum("n_links").alias("n_links"))
     return gone, held
 
 
+def _gone_in_groups(seen: DataFrame, once: DataFrame, classes: DataFrame, both: DataFrame, min_count: int) -> DataFrame:
+    """The occurrences to remove where the documents of a group are copies of each other."""
+    # A text that comes later than a linked one goes from all groups but the earlier text's, and there from
+    # the documents that hold the earlier text too.
+    sides = lambda late, early, keep: F.struct(*(F.col(x).alias(y) for x, y in zip((*late, *early, keep), ("a", "b", "early_a", "early_b", "keep"))))
+    later = F.when(F.col("first1") < F.col("first2"), sides("cd", "ab", "grp1")).otherwise(sides("ab", "cd", "grp2"))
+    linked = stored(both.select(later.alias("late")).select("late.*"), "late-lines")
+    late = linked.groupBy("a", "b").agg(F.min("keep").alias("least"), F.max("keep").alias("most"))
+    often = classes.filter(F.col("n") >= max(2, min_count)).select("a", "b", F.col("grp").alias("keep"))
+    elsewhere = (F.col("grp") != F.col("least")) | (F.col("grp") != F.col("most"))
+    tops = once.withColumnRenamed("at", "top").withColumnsRenamed({c: f"_{c}" for c in ("a", "b", "grp", "id", "doc")})
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    for c in ("a", "b", "grp", "doc"):
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    again = seen.join(often, ["a", "b"]).join(tops, same)
+    at_home = seen.join(linked, ["a", "b"]).filter(F.col("grp") == F.col("keep"))
+    beside = at_home.join(tops.select("_a", "_b", "_grp", "_id", "_doc"), (
+        (F.col("keep") == F.col("_grp")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("doc") == F.col("_doc")) & (F.col("early_a") == F.col("_a")) & (F.col("early_b") == F.col("_b"))
+    ), "left_semi")
+    return (
+        again.filter((F.col("grp") != F.col("keep")) | (F.col("at") > F.col("top"))).select("id", "doc", "at")
+        .unionByName(seen.join(late, ["a", "b"]).filter(elsewhere).select("id", "doc", "at"))
+        .unionByName(beside.select("id", "doc", "at")).distinct()
+    )
+
+
 def _per_document(docs: DataFrame, gone: DataFrame, id: str, text: str) -> DataFrame:
     """Input rows with `_gone`, the numbers of the lines to remove, or null."""
     removed = gone.groupBy("id", "doc").agg(F.sort_array(F.collect_set("at")).alias("_gone"))

@@ -330,3 +330,37 @@ def test_pipeline_drops_edited_copies(spark, tmp_path):
     rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(edited), "en", "s", 1), (3, prose(200), "en", "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
     assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()) == [1, 3]
+
+
+def test_pipeline_drops_rare_repeated_lines(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, once, twice = ([prose(15) for _ in range(8)], [prose(15) for _ in range(8)], [prose(15) for _ in range(8)], prose(14), prose(14))
+    texts = [a[:3] + [twice] + a[3:], b[:4] + [twice] + b[4:], c[:2] + [once] + c[2:5] + [once] + c[5:], a[:3] + [twice] + a[3:]]
+    texts += [a[:3] + [twice] + a[3:6] + [a[6] + " new word"] + a[7:], [twice[:-1] + "Q"] + [prose(40)]]
+    near = prose(13)
+    texts += [[near, prose(40), near[:-1] + "Q"]]
+    rows = [(i, "\n".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.drop_lines(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()}
+    # The line of two groups stays in all copies of its first document; the one repeated inside stays once.
+    assert got[0] == texts[0] and got[1] == b and got[2] == c[:2] + [once] + c[2:]
+    assert got[3] == texts[3] and got[4] == texts[4] and got[5] == texts[5][1:] and got[6] == texts[6][:2]
+
+
+@pytest.mark.parametrize("every", [5, 4])
+@pytest.mark.parametrize("beside", [False, True])
+def test_paraphrased_items_are_found(spark, every, beside):
+    rng = random.Random(every)
+    items = [prose(n) for n in (24, 40, 90)]
+    changed = [" ".join("new%d" % i if i % every == every - 1 else w for i, w in enumerate(t.split())) for t in items]
+    drawn = [" ".join(w if rng.random() > 1 / every else "some" for w in t.split()) for t in items]
+    rows = [(i, prose(60) + " " + t + " " + prose(40)) for i, t in enumerate(changed + drawn)] + [(90, prose(300))]
+    if beside:
+        rows += [(100 + i, prose(20) + " " + t) for i, t in enumerate(items * 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in benchmarks.contaminated(frame, tests).collect()}
+    # every pair whose words align well enough, by aligning all with all
+    want = {(d, i) for d, t in rows for i, item in enumerate(items) if benchmarks.align(benchmarks.lowered_words(item), benchmarks.lowered_words(t)) >= 0.5}
+    assert got == want and {(i, i) for i in range(3)} <= got and (90, 0) not in got
