@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 # A side may be broadcast only below this many rows and bytes.
 BROADCAST_ROWS = 200_000
@@ -52,6 +52,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds `name`: 0, 1, 2, ... by `order` (columns or names). Ranges of rows are sorted in parallel and only
+    their sizes are summed up, so no task sees more than its range."""
+    ranged = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))  # one row per partition
+    before = F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + place).drop("_range", "_before")
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether `df` has at most `max_rows` rows, and these at most `max_bytes` bytes written out as JSON;
     counts no more rows than that bound."""
