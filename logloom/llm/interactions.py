@@ -2,12 +2,13 @@
 
 Files are processed as available-now micro-batches. The text's own filters give a mask of failed ones per
 document; whether a smaller id holds the same text is known only at the end, so it is kept as keyed state: a text
-knows the smallest id so far and the documents that have it. When a smaller id arrives, the masks of the earlier
+has the smallest id so far and the documents that have it. When a smaller id arrives, the masks of the earlier
 ones are retracted from the counters of their parts and counted again with the duplicate's bit. Counters are sums
 of such changes by (part, mask, labels), written by micro-batch; a repeated batch overwrites its own changes.
 Every order of the filters is then a sum over at most 32 masks a part.
 
-Texts are known by their 128-bit hash. Rows of a text that are not the smallest id within their task's rows are
+Texts are known by their 128-bit hash; a state key holds the texts of one of many small buckets, as many
+as the number of documents asks for. Rows of a text that are not the smallest id within their task's rows are
 counted before the shuffle, so a text that a third of all rows share sends one row a task to its state.
 """
 
@@ -31,9 +32,16 @@ DUPLICATE = 16  # the bit of E
 MIN_WORDS, DISTINCT, UPPER, SYMBOLS = 50, 65, 5, "#$%&*|"
 BATCHES = 4  # micro-batches of a run over the files that are there
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State on disk, of which a batch uploads its changes; files are not preallocated, as state partitions may be many and small.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+TEXTS = 256  # of one state key, on average
 CHANGES = "part string, mask int, good int, toxic int, n bigint"
-SEEN = f"hash binary, has boolean, id bigint, {CHANGES}"
+SEEN = f"bucket bigint, hash binary, id bigint, {CHANGES}"
+KEPT = "hash array<binary>, id array<bigint>, part array<string>, mask array<int>, good array<int>, toxic array<int>, n array<bigint>"
 
 
 def masks(text: Column) -> Column:
@@ -49,63 +57,73 @@ def masks(text: Column) -> Column:
     return F.transform(F.array(F.struct(words.alias("words"))), bits)[0].cast("int")
 
 
-def _seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each text the rows with the smallest id; the others, and rows without an id, as counted changes."""
-    least, same, changes = {}, {}, Counter()
-    columns = ["hash", "has", "id", "part", "mask", "good", "toxic", "n"]
+class _Texts:
+    """Of each text the smallest id so far, and the documents that have it: (part, mask, good, toxic) and how many.
+    `changes` is what this makes the counters of other documents and of earlier ones change by."""
 
-    def flush():
-        rows = [(h, True, least[h], *what, n) for h, held in same.items() for what, n in held.items()]
-        rows += [(repr(what).encode(), False, 0, *what, n) for what, n in changes.items()]
-        return pd.DataFrame(rows, columns=columns)
+    def __init__(self) -> None:
+        self.least, self.held, self.changes = {}, {}, Counter()
 
+    def add(self, text: bytes, id: int, what: tuple, n: int) -> None:
+        first = self.least.get(text)
+        if first is not None and id > first:
+            self.changes[(what[0], what[1] | DUPLICATE, *what[2:])] += n
+            return
+        if first is None or id < first:
+            for (part, mask, *labels), k in self.held.get(text, {}).items():
+                self.changes[(part, mask | DUPLICATE, *labels)] += k
+            self.least[text], self.held[text] = id, {}
+        held = self.held[text]
+        held[what] = held.get(what, 0) + n
+
+    def rows(self) -> list[tuple]:
+        return [(text, self.least[text], *what, n) for text, held in self.held.items() for what, n in held.items()]
+
+
+def _what(frame: pd.DataFrame):
+    return zip(frame["part"], frame["mask"].tolist(), frame["good"].tolist(), frame["toxic"].tolist())
+
+
+def _seen(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
+    """Of each text the rows with the smallest id, under the text's bucket; the others, and rows without an
+    id, as counted changes under negative buckets."""
+    def flush(texts: _Texts) -> pd.DataFrame:
+        rows = [(int.from_bytes(row[0][:7], "big") % buckets, *row) for row in texts.rows()]
+        rows += [(-1 - k % 64, None, 0, *what, n) for k, (what, n) in enumerate(texts.changes.items())]
+        return pd.DataFrame(rows, columns=["bucket", "hash", "id", "part", "mask", "good", "toxic", "n"])
+
+    texts = _Texts()
     for batch in batches:
-        for h, id, has, part, mask, good, toxic in zip(batch["hash"], batch["id"], batch["has"], batch["part"], batch["mask"], batch["good"], batch["toxic"]):
-            what = (part, mask, good, toxic)
-            if not has:
-                changes[what] += 1
-                continue
-            first = least.get(h)
-            if first is not None and id > first:
-                changes[(part, mask | DUPLICATE, good, toxic)] += 1
-                continue
-            if first is None or id < first:
-                for (p, m, g, t), n in same.get(h, {}).items():
-                    changes[(p, m | DUPLICATE, g, t)] += n
-                least[h], same[h] = id, {}
-            same[h][what] = same[h].get(what, 0) + 1
-        if len(least) + len(changes) > 100_000:  # what a task holds is bounded; later rows meet the earlier ones in the state
-            yield flush()
-            least, same, changes = {}, {}, Counter()
-    yield flush()
+        for text, id, has, what in zip(batch["hash"], batch["id"].tolist(), batch["has"], _what(batch)):
+            if has:
+                texts.add(text, id, what, 1)
+            else:
+                texts.changes[what] += 1
+        if len(texts.least) + len(texts.changes) > 100_000:  # a task holds no more; later rows meet the earlier ones in the state
+            yield flush(texts)
+            texts = _Texts()
+    yield flush(texts)
 
 
 def _changes(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes that a text's new rows make, its smallest id and the documents that have it kept as state. Rows
-    without an id are changes already."""
-    least, held = None, {}
+    """Changes that new rows of a bucket's texts make; the texts' smallest ids and their documents are its state."""
+    texts, out = _Texts(), Counter()
     if state.exists:
-        least, parts, marks, goods, toxics, counts = state.get
-        held = dict(zip(zip(parts, marks, goods, toxics), counts))
-    out = Counter()
+        for text, id, *what, n in zip(*state.get):
+            texts.add(text, id, tuple(what), n)
+            out[tuple(what)] -= n  # counted before
     for frame in frames:
-        for has, id, part, mask, good, toxic, n in zip(frame["has"], frame["id"], frame["part"], frame["mask"], frame["good"], frame["toxic"], frame["n"]):
-            what = (part, mask, good, toxic)
-            if not has:
+        for text, id, n, what in zip(frame["hash"], frame["id"].tolist(), frame["n"].tolist(), _what(frame)):
+            if key[0] < 0:
                 out[what] += n
-                continue
-            if least is not None and id > least:
-                out[(part, mask | DUPLICATE, good, toxic)] += n
-                continue
-            if least is None or id < least:
-                for (p, m, g, t), k in held.items():
-                    out[(p, m, g, t)] -= k
-                    out[(p, m | DUPLICATE, g, t)] += k
-                least, held = int(id), {}
-            held[what] = held.get(what, 0) + int(n)
-            out[what] += n
-    if held:
-        state.update((least, [w[0] for w in held], [int(w[1]) for w in held], [int(w[2]) for w in held], [int(w[3]) for w in held], list(held.values())))
+            else:
+                texts.add(text, id, what, n)
+    rows = texts.rows()
+    for _, _, *what, n in rows:
+        out[tuple(what)] += n
+    out.update(texts.changes)
+    if rows:
+        state.update(tuple(list(column) for column in zip(*rows)))
     yield pd.DataFrame([(*what, n) for what, n in out.items() if n], columns=["part", "mask", "good", "toxic", "n"])
 
 
@@ -128,26 +146,25 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, id: str = "doc_i
     """
     docs = spark.read.parquet(path)
     files = max(1, -(-len(docs.inputFiles()) // batches))
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store, None)
+    before = {name: spark.conf.get(name, None) for name in STORE}
     home = scratch_path(spark, "audit")
     reader = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files)
     folder, _, name = path.rstrip("/").rpartition("/")
     source = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
-    rows = _marked(source, labels, id, text, part).mapInPandas(_seen, SEEN)
-    changes = rows.groupBy("hash").applyInPandasWithState(
-        _changes, CHANGES, "least bigint, parts array<string>, marks array<int>, goods array<int>, toxics array<int>, counts array<bigint>",
-        "append", GroupStateTimeout.NoTimeout,
-    )
+    buckets = max(1, docs.count() // TEXTS)
+    rows = _marked(source, labels, id, text, part).mapInPandas(lambda batches: _seen(batches, buckets), SEEN)
+    changes = rows.groupBy("bucket").applyInPandasWithState(_changes, CHANGES, KEPT, "append", GroupStateTimeout.NoTimeout)
 
     def store_batch(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{home}/changes/batch={number}")
 
-    spark.conf.set(store, ROCKS)
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     try:
         changes.writeStream.foreachBatch(store_batch).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(store, before) if before else spark.conf.unset(store)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     if docs.isEmpty():
         return spark.createDataFrame([], CHANGES)
     told = spark.read.schema(CHANGES).parquet(f"{home}/changes/batch=*")
