@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -45,13 +48,61 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write the rows as Parquet to the shared folder and read on from there.
 
-    Cuts the lineage like a checkpoint, but later reads prune columns and push filters down.
+    Cuts the lineage like a checkpoint, but later reads prune columns and push filters down. Inside
+    `written()` the folder is noted, so that it can be removed when nothing reads it any more.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def written():
+    """The folders that `stored` writes meanwhile, as a list that grows."""
+    _WRITTEN.append([])
+    try:
+        yield _WRITTEN[-1]
+    finally:
+        _WRITTEN.pop()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders that `stored` wrote. Shuffle files of their frames go when the driver finds these
+    unused, so it is asked to look."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """`stored(build(), name)`, and everything that `build` wrote on the way is removed."""
+    with written() as inner:
+        df = build()
+        path = scratch_path(df.sparkSession, name)
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    remove(out.sparkSession, inner)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    return out
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """Adds `name`: 0, 1, 2, ... by `order` (columns or names). Ranges of rows are sorted in parallel and only
     their sizes are summed up, so no task sees more than its range."""
