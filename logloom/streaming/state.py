@@ -87,7 +87,7 @@ def _service_rows(key, frames, state: GroupState):
             continue
         seconds = 0.0 if last is None else (int(us) - last) / 1e6
         deltas.append(round(min(max(seconds, 0.0), MAX_DELTA_SECONDS), 4))
-        last = int(us)
+        last = int(us) if last is None else max(last, int(us))  # a late event does not set the service back
     if last is not None:
         state.update((last,))
         _keep(state, rows)

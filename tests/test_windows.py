@@ -99,3 +99,14 @@ def test_late_event_in_a_stream(spark, tmp_path):
         state.replay(state.template_state(stream, "1 day"), str(tmp_path / "out"), str(tmp_path / "check"))
     got = {r["line_number"]: r["burstiness"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: 3, 5: 2, 6: 3}
+
+
+def test_late_event_keeps_the_last_time_of_its_service(spark, tmp_path):
+    from logloom.streaming import state
+
+    for batch in ([(101, 1)], [(50, 2)], [(102, 3)]):
+        rows = spark.createDataFrame([("s", "f", n, t) for t, n in batch], "service string, source_file string, line_number long, t long")
+        rows.select("service", "source_file", "line_number", F.timestamp_seconds("t").alias("timestamp")).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("service string, source_file string, line_number long, timestamp timestamp").parquet(str(tmp_path / "in"))
+        state.replay(state.service_state(stream, "1 day"), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert {r["line_number"]: r["time_delta"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: 0.0, 2: 0.0, 3: 1.0}
