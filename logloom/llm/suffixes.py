@@ -123,22 +123,60 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     small = _smaller(t)
     seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     induce = _induce_by_bucket if top <= WIDE else _induce_one_by_one
-    rough = induce(t, small, seeds[np.argsort(t[seeds], kind="stable")], top)
+    # The substrings from one seed to the next are sorted and named.
+    named = _names_by_inducing(t, small, seeds, top) if top <= WIDE else _names_by_symbols(t, small, seeds)
+    times = np.bincount(named)
+    ordered = np.argsort(named) if times.max() == 1 else _by_names(named, times == 1)
+    return induce(t, small, seeds[ordered], top)
+
+
+def _names_by_inducing(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, top: int) -> np.ndarray:
+    """Ranks of the seeds' substrings: seeds sorted by first symbols induce the order of whole substrings."""
+    n = len(t)
+    rough = _induce_by_bucket(t, small, seeds[np.argsort(t[seeds], kind="stable")], top)
     is_seed = np.zeros(n, dtype=bool)
     is_seed[seeds] = True
     ordered = rough[is_seed[rough]]
-    # Name the substrings from one seed to the next.
     end = np.full(n, n)
     end[seeds[:-1]] = seeds[1:] + 1
     sequence = Sequence((t.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
     hashes = sequence.stretches(ordered, np.minimum(end[ordered], n))
     length = end[ordered] - ordered
-    name = np.cumsum(np.append(False, (hashes[1:] != hashes[:-1]) | (length[1:] != length[:-1])))
-    if len(name) and name[-1] + 1 < len(ordered):
-        place = np.empty(n, dtype=np.int64)
-        place[ordered] = name
-        ordered = seeds[suffix_array(place[seeds])]
-    return induce(t, small, ordered, top)
+    place = np.empty(n, dtype=np.int64)
+    place[ordered] = np.cumsum(np.append(False, (hashes[1:] != hashes[:-1]) | (length[1:] != length[:-1])))
+    return place[seeds]
+
+
+def _names_by_symbols(t: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The same for wide alphabets, whose substrings are short: symbol by symbol, as long as some agree. At equal
+    symbols a larger suffix comes first, so no substring is a prefix of another."""
+    key = 2 * t + small
+    last = np.append(seeds[1:], len(t) - 1) - seeds
+    rank = np.zeros(len(seeds), dtype=np.int64)
+    open_, at = np.arange(len(seeds)), 0
+    while len(open_):
+        order = open_[np.lexsort((key[seeds[open_] + at], rank[open_]))]
+        group, symbol = rank[order], key[seeds[order] + at]
+        fresh = np.append(True, group[1:] != group[:-1])
+        first = np.flatnonzero(fresh | np.append(True, symbol[1:] != symbol[:-1]))
+        base = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        count = np.diff(first, append=len(order))
+        rank[order] = group + np.repeat(first - base[first], count)
+        open_ = order[np.repeat(count > 1, count) & (last[order] > at)]
+        at += 1
+    return np.unique(rank, return_inverse=True)[1]
+
+
+def _by_names(named: np.ndarray, once: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a sequence of names. A comparison ends at a name that occurs once, so the
+    recursion leaves out such names where one comes before them already."""
+    alone = once[named]
+    kept = np.append(True, ~alone[:-1]) | ~alone
+    kept[-1] = True  # the end mark
+    where = np.flatnonzero(kept)
+    rank = np.zeros(len(named), dtype=np.int64)
+    rank[where[suffix_array(named[where])]] = np.arange(len(where))
+    return np.argsort(named * len(named) + rank)
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, where: np.ndarray | None = None) -> np.ndarray:
@@ -239,7 +277,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     of each other; other columns are ignored; no rows give none.
     """
     found = shared(docs, text, byte_units, window, seed)
-    spans, borders = split(found)
+    spans, borders = split(found, window, seed)
     few = borders.filter(F.col("others") <= 2 * shard)
     parts = stored(_contexts(texts_of(docs, text, few)), "parts")
     shards = max(1, -(-parts.count() // shard))
