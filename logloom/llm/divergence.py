@@ -35,7 +35,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     """Occurrences and documents of every term by language and source, of a task's documents."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
@@ -52,7 +52,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n.update(terms)
             docs.update(terms.keys())
             size += len(n)
-            if size > HELD:
+            if size > most:
                 yield from rows()
                 held, size = {}, 0
     yield from rows()
@@ -110,32 +110,32 @@ def _priced(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-def _quadrant(rows, columns, counts, wholes, wide: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def _quadrant(rows, columns, counts, wholes, high: int, wide: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Shares of every cell, the quadtree, and the share of cells without a count, of one quadrant."""
-    cells = np.zeros((ROWS, wide), dtype=np.int64)
+    cells = np.zeros((high, wide), dtype=np.int64)
     cells[rows, columns] = counts
-    whole = np.ones(ROWS, dtype=np.int64)
+    whole = np.ones(high, dtype=np.int64)
     whole[:len(wholes)] = wholes
-    return _shares(cells + 1, whole[:, None]), _levels(cells > 0), _shares(np.ones(ROWS, dtype=np.int64), whole)
+    return _shares(cells + 1, whole[:, None]), _levels(cells > 0), _shares(np.ones(high, dtype=np.int64), whole)
 
 
-def _between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _between(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     """What the cells of pairs of quadrants add to the prices of their pairs of groups."""
     sums: dict[tuple[str, int, int], np.ndarray] = {}
 
     def rows():
         for (lang, low, high), total in sums.items():
             a, b = np.nonzero(total)
-            yield pd.DataFrame({"lang": lang, "a": low * ROWS + a, "b": high * ROWS + b, "value": total[a, b]})
+            yield pd.DataFrame({"lang": lang, "a": low * size + a, "b": high * size + b, "value": total[a, b]})
 
     for batch in batches:
         for r in batch.itertuples(index=False):
             wide = 1 << int(max(r.c1.max(initial=0), r.c2.max(initial=0))).bit_length()
-            p, tree, p0 = _quadrant(r.r1, r.c1, r.n1, r.w1, wide)
-            q, other, q0 = _quadrant(r.r2, r.c2, r.n2, r.w2, wide)
+            p, tree, p0 = _quadrant(r.r1, r.c1, r.n1, r.w1, size, wide)
+            q, other, q0 = _quadrant(r.r2, r.c2, r.n2, r.w2, size, wide)
             a, b, c = _walk(tree, other, len(r.w1), len(r.w2))
             for low, high, x, y, i, j, x0, y0 in ((r.low, r.high, p, q, a, b, p0, q0), (r.high, r.low, q, p, b, a, q0, p0)):
-                total = sums.setdefault((r.lang, low, high), np.zeros((ROWS, ROWS), dtype=np.int64))
+                total = sums.setdefault((r.lang, low, high), np.zeros((size, size), dtype=np.int64))
                 np.add.at(total, (i, j), _priced(x[i, c], y[j, c]) - _priced(x0[i], y0[j]))
                 if r.low == r.high:
                     break
@@ -145,14 +145,14 @@ def _between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from rows()
 
 
-def _pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(cells: DataFrame, groups: DataFrame, size: int) -> DataFrame:
     """(lang, a, b, value): for numbered groups a and b of a language the sum over the terms that either has."""
     quadrants = stored(
-        cells.groupBy("lang", "block", F.expr(f"row div {ROWS}").alias("high"))
-        .agg(F.collect_list(F.struct((F.col("row") % ROWS).cast("int").alias("r"), "column", "n")).alias("x"))
+        cells.groupBy("lang", "block", F.expr(f"row div {size}").alias("high"))
+        .agg(F.collect_list(F.struct((F.col("row") % size).cast("int").alias("r"), "column", "n")).alias("x"))
         .select("lang", "block", "high", F.col("x.r").alias("r"), F.col("x.column").alias("c"), F.col("x.n").alias("n")), "quadrants",
     )
-    facts = groups.groupBy("lang", F.expr(f"row div {ROWS}").alias("high")).agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "whole"))), lambda x: x["whole"]).alias("w"))
+    facts = groups.groupBy("lang", F.expr(f"row div {size}").alias("high")).agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "whole"))), lambda x: x["whole"]).alias("w"))
     facts = stored(facts, "group-blocks")
     named = lambda df, k, **to: df.select("lang", *(c for c in df.columns if c not in ("lang", "high", "r", "c", "n", "w")), *(F.col(c).alias(to.get(c, f"{c}{k}")) for c in df.columns if c in ("high", "r", "c", "n", "w")))
     blocks = facts.select("lang", F.col("high").alias("other"))
@@ -163,35 +163,37 @@ def _pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
     sides = sides.join(hint_small(named(facts, 1, high="low")), ["lang", "low"]).join(hint_small(named(facts, 2, high="high")), ["lang", "high"])
     none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
     tasks = sides.select("lang", "low", "high", *(none(f"{c}{k}", kind) for c, kind in (("r", "int"), ("c", "int"), ("n", "bigint")) for k in (1, 2)), "w1", "w2")
-    found = tasks.mapInPandas(_between, "lang string, a bigint, b bigint, value bigint")
+    found = tasks.mapInPandas(lambda batches: _between(batches, size), "lang string, a bigint, b bigint, value bigint")
     return found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP,
+          rows: int = ROWS, columns: int = COLUMNS, held: int = HELD) -> DataFrame:
     """(lang, source, part, item, value, rank): part `pair`, the divergence of each group from every other source of
     its language; part `term`, the `top` terms that the group has more of than its language.
 
     Null texts, languages and sources are empty strings. Every group that occurs is reported, one without kept terms too;
     a language without kept terms has pairs of value 0. Repeated rows are documents of their own; ties of values go
-    by item; other columns are ignored; no rows give none.
+    by item; other columns are ignored; no rows give none. `rows` (a power of two), `columns` and `held` say how the
+    work is cut and change no result.
     """
     plain = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
-    counted = stored(plain.mapInPandas(_counted, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
+    counted = stored(plain.mapInPandas(lambda batches: _counted(batches, held), COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
     kept = counted.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
     kept = stored(kept.select("lang", "term", "all"), "kept")
     langs = stored(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("all").alias("words")), "langs")
-    blocks = F.ceil(F.col("terms") / COLUMNS).cast("long")
+    blocks = F.ceil(F.col("terms") / columns).cast("long")
     placed = kept.join(hint_small(langs), "lang").withColumn("block", F.pmod(F.xxhash64("term"), blocks))
     placed = placed.withColumn("column", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1)
     cells = stored(counted.filter("term is not null").join(placed, ["lang", "term"]).select("lang", "source", "term", "n", "all", "terms", "words", "block", "column"), "cells")
-    held = cells.groupBy("lang", "source").agg(F.sum("n").alias("size"))
-    groups = counted.select("lang", "source").distinct().join(held, ["lang", "source"], "left").join(hint_small(langs), "lang", "left")
+    sizes = cells.groupBy("lang", "source").agg(F.sum("n").alias("size"))
+    groups = counted.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(hint_small(langs), "lang", "left")
     row = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     terms = F.coalesce("terms", F.lit(0))
     groups = stored(groups.select("lang", "source", row.alias("row"), terms.alias("terms"), F.greatest(F.coalesce("size", F.lit(0)) + terms, F.lit(1)).alias("whole")), "groups")
     cells = cells.join(hint_small(groups.select("lang", "source", "row", "whole")), ["lang", "source"])
 
-    ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
     price = lambda p, q: _div((p - q) * (p - q), q)
     p, q = F.col("p"), F.col("q")
     shares = cells.select("lang", "source", F.col("term").alias("item"), share(F.col("n") + 1, F.col("whole")).alias("p"), share(F.col("all") + 1, F.col("words") + F.col("terms")).alias("q"))
@@ -200,7 +202,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     zero = groups.withColumn("p", share(F.lit(1), F.col("whole")))
     one = zero.select("lang", "source", F.col("row").alias("a"), "terms", "p")
     two = zero.select("lang", F.col("source").alias("item"), F.col("row").alias("b"), F.col("p").alias("q"))
-    pairs = one.join(two, "lang").filter("a <> b").join(_pairs(cells, groups), ["lang", "a", "b"], "left")
+    pairs = one.join(two, "lang").filter("a <> b").join(_pairs(cells, groups, rows), ["lang", "a", "b"], "left")
     value = F.col("terms") * price(p, q) + F.coalesce("value", F.lit(0))
     by_pair = ranked(pairs.select("lang", "source", F.lit("pair").alias("part"), "item", value.alias("value")))
     return by_pair.unionByName(by_term)
