@@ -7,8 +7,20 @@ from pyspark.sql import functions as F
 from catalog.registry import query, table
 from catalog.views import EVENT_LOGS, bm25_sql, event_logs, hybrid_sql, near_sql, vectors_sql
 from logloom.functions.vectors import hash_embedding
-from logloom.operators import bm25, incident, kb, knn, scaling
+from logloom.operators import bm25, incident, kb, keyword_index, knn, scaling
 from logloom.operators.hybrid import hybrid_search as search_both, with_payload
+from logloom.session import scratch_path
+from logloom.sources.log_table import state_key
+
+
+_INDEXES: dict[tuple, str] = {}
+
+
+def _document_index(spark, folder):
+    """The folder of the documents' keyword index, built when their files are new to the session."""
+    docs = table(spark, folder, "documents")
+    home = _INDEXES.setdefault((spark.sparkContext.applicationId, state_key(docs)), scratch_path(spark, "index"))
+    return keyword_index.built(docs, home, "doc_id", "text")
 
 
 def _vectors(df, text):
@@ -36,6 +48,30 @@ def bm25_index(spark, folder):
 SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM bm""",
 )
 def bm25_search(spark, folder):
+    """From the stored index of the documents, which later searches of the session use again."""
+    return keyword_index.search(table(spark, folder, "benchmark"), _document_index(spark, folder), 5, "item_id")
+
+
+@query(
+    "bm25_appended",
+    f"""WITH {bm25_sql('benchmark', 'item_id', 'text', 'documents', 'doc_id', 'text', 12)}
+SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM bm""",
+)
+def bm25_appended(spark, folder):
+    """The index grows in three appends of small blocks; scores are those of all documents."""
+    docs, home = table(spark, folder, "documents"), scratch_path(spark, "index")
+    for k in range(3):
+        keyword_index.append(docs.filter(F.col("doc_id") % 3 == k), home, "doc_id", "text", batch=k, block=100)
+    return keyword_index.search(table(spark, folder, "benchmark"), home, 12, "item_id")
+
+
+@query(
+    "bm25_scan",
+    f"""WITH {bm25_sql('benchmark', 'item_id', 'text', 'documents', 'doc_id', 'text', 5)}
+SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM bm""",
+)
+def bm25_scan(spark, folder):
+    """The way without an index: queries go to the documents."""
     return bm25.search(table(spark, folder, "benchmark"), table(spark, folder, "documents"), 5, "item_id", "doc_id")
 
 
@@ -78,7 +114,7 @@ _HYBRID = f"""{vectors_sql('benchmark', 'item_id', 'text', 'qv')}, {vectors_sql(
 )
 def hybrid_search(spark, folder):
     docs = _vectors(table(spark, folder, "documents"), "text")
-    found = search_both(_vectors(table(spark, folder, "benchmark"), "text"), docs, 5, "item_id", "doc_id", item_text="text")
+    found = search_both(_vectors(table(spark, folder, "benchmark"), "text"), docs, 5, "item_id", "doc_id", item_text="text", index=_document_index(spark, folder))
     return with_payload(found, docs.select("doc_id", "lang", "source"), "doc_id")
 
 
