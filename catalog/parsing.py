@@ -347,10 +347,28 @@ def mine_templates(spark, folder):
         F.concat(F.lit("doc_"), "doc_id").alias("source_file"), F.col("line_in_page").cast("long").alias("line_number"),
         F.regexp_extract("line", r"(?s)pdf_source (.*)", 1).alias("message"),
     )
-    logs = events.unionByName(lines)
+    logs = templates.masked_logs(events.unionByName(lines))
     distinct = cut(templates.distinct_messages(logs))
     found, members = templates.mine(distinct)
     assigned = templates.assign(logs, distinct, found, members)
     return assigned.groupBy("template_id", "template_str").agg(
         F.count(F.lit(1)).alias("n_lines"), F.max(F.size("dynamic_params")).alias("most_params")
     )
+
+
+@query(
+    "template_resume",
+    """SELECT 'E' || row_number() OVER (ORDER BY min(event_id)) AS template_id, event_type || ' of svc <*> took <DURATION> k <*>' AS template_str,
+  count(*) AS n, min(event_id) + 1 AS first_line FROM events GROUP BY event_type""",
+)
+def template_resume(spark, folder):
+    """Templates of the events, mined in three instalments: later ones go on from the saved templates."""
+    words = F.concat("event_type", F.lit(" of svc_"), "user_id", F.lit(" took "), "value", F.lit(" ms k="), "k")
+    logs = event_lines(spark, folder).select("source_file", "line_number", words.alias("message"))
+    last = logs.agg(F.max("line_number")).first()[0] or 0
+    found = members = None
+    for k in range(3):
+        part = logs.filter((F.col("line_number") * 3 > k * last) & (F.col("line_number") * 3 <= (k + 1) * last))
+        distinct = cut(templates.distinct_messages(part))
+        found, members = templates.mine(distinct) if found is None else templates.resume(distinct, found, members)
+    return found.select("template_id", "template_str", "n", F.col("l").alias("first_line"))

@@ -53,6 +53,24 @@ def stream_window_counts(spark, folder):
     return spark.read.parquet(f"{home}/w").select("template_id", F.unix_seconds("window_start").alias("window_start"), "n")
 
 
+@query(
+    "stream_templates",
+    """SELECT 'E' || row_number() OVER (ORDER BY min(event_id)) AS template_id, event_type || ' of svc <*> took <DURATION> k <*>' AS template_str,
+  count(*) AS n, count(*) AS n_rows, count(*) AS n_ids FROM events GROUP BY event_type""",
+)
+def stream_templates(spark, folder):
+    """Event lines arrive in two instalments; the second batch goes on from the first one's templates."""
+    home = scratch_path(spark, "arrivals")
+    lines = event_lines(spark, folder)
+    words = F.concat(F.substring("line", 1, 26), F.lit(" INFO "), "event_type", F.lit(" of svc_"), "user_id", F.lit(" took "), "value", F.lit(" ms k="), "k")
+    for part in ("ts < timestamp'2024-01-20'", "ts >= timestamp'2024-01-20'"):
+        lines.filter(part).repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(words).write.mode("append").text(f"{home}/in")
+        ingest.ingest_stream(ingest.numbered_stream(spark, f"{home}/in", "*.txt"), home, f"{home}/check").awaitTermination()
+    rows, templates = ingest.read_ingested(spark, home)
+    held = rows.groupBy("template_id").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("log_id").alias("n_ids"))
+    return templates.join(held, "template_id").select("template_id", "template_str", "n", "n_rows", "n_ids")
+
+
 @query(
     "stream_ingest",
     f"""WITH {EVENT_LOGS} SELECT raw_line, level, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time_text, template_id || ' took ' || value || ' ms k=' || CAST(CAST(kd AS BIGINT) AS VARCHAR) AS tail FROM lg""",
