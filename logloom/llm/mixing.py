@@ -100,15 +100,8 @@ def schedule(spark, shares: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranked.unionByName(short.select((F.lit(total) + F.col("rank")).alias("slot"), "source", "rank"))
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS,
-        share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken (words, repeats counted).
-
-    taken is at most ceil(cap) times the size. Null texts and texts without words have size 0 and
-    are taken 0 times; a null source is a source of its own, the last. Equal rows are interchangeable,
-    so reruns agree. Empty tables are fine, other columns are ignored.
-    """
-    spark = docs.sparkSession
+def _streams(docs: DataFrame, id: str, text: str, source: str, weights: tuple, share: float, cap: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes of all rows, targets of their sources, and the place of every row with words in its source's shuffled stream."""
     rows = stored(sized(docs, id, text, source), "sizes")
     sizes = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
     held = rows.agg(F.count(F.lit(1))).first()[0]
@@ -117,19 +110,46 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     bucket = F.floor(F.shiftrightunsigned(mixed, 11) / 2.0 ** 53 * buckets).cast("long")
     full = rows.filter("size > 0").withColumn("_mixed", F.shiftrightunsigned(mixed, 11))
     placed = _running(full, ["source"], bucket, F.col("size"), ["_mixed", "id", "hash", "size"], "offset")
-    placed = stored(placed.select("id", "source", "size", "offset"), "streams")
-    slots = schedule(spark, sizes.select("source", "target"), block).select(F.col("source").alias("_source"), F.col("rank").alias("_rank"))
+    return rows, sizes, stored(placed.select("id", "source", "size", "offset"), "streams")
+
+
+def _pieces(placed: DataFrame, sizes: DataFrame, cap: float, block: int) -> DataFrame:
+    """(slot, source, id, offset, pass, start, words): what each slot of the schedule takes, of `_streams`' rows."""
+    slots = schedule(placed.sparkSession, sizes.select("source", "target"), block).select("slot", F.col("source").alias("_source"), F.col("rank").alias("_rank"))
     turns = placed.join(sizes.select(F.col("source").alias("_of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
-    turns = turns.withColumn("start", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(max(1, -int(-cap // 1))) - 1), lambda e: F.col("offset") + e.cast("long") * F.col("source_size")
-    )))
-    end = F.least(F.col("start") + F.col("size"), F.floor("target"))
-    cut = turns.withColumn("end", end).filter("end > start").withColumn(
-        "rank", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(end - 1) div {block}")))
+    turns = turns.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max(1, -int(-cap // 1))) - 1)))
+    turns = turns.withColumn("from", F.col("offset") + F.col("pass").cast("long") * F.col("source_size"))
+    end = F.least(F.col("from") + F.col("size"), F.floor("target"))
+    cut = turns.withColumn("end", end).filter("`end` > `from`").withColumn(
+        "rank", F.explode(F.sequence(F.expr(f"`from` div {block}"), F.expr(f"(`end` - 1) div {block}")))
     )
-    words = F.least("end", (F.col("rank") + 1) * block) - F.greatest("start", F.col("rank") * block)
+    first = F.greatest("from", F.col("rank") * block)
+    words = F.least("end", (F.col("rank") + 1) * block) - first
     used = cut.join(slots, (F.col("rank") == F.col("_rank")) & F.col("source").eqNullSafe(F.col("_source")))
-    took = used.groupBy(F.col("source").alias("_source"), F.col("offset").alias("_offset")).agg(F.sum(words).alias("taken"))
+    return used.select("slot", "source", "id", "offset", "pass", (first - F.col("from")).alias("start"), words.alias("words"))
+
+
+def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS,
+           share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """The mix itself: (slot, source, id, offset, pass, start, words), sorted by slot, offset within pass to be read in order.
+
+    A slot is one block of a source; its pieces are `words` words of a document from word `start` on. A document may
+    come again in a later pass over its source. Edge cases as in `mix`.
+    """
+    _, sizes, placed = _streams(docs, id, text, source, weights, share, cap, seed)
+    return _pieces(placed, sizes, cap, block).withColumnRenamed("id", id).orderBy("slot", "pass", "offset")
+
+
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS,
+        share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """One row per input row: id, size, source_size, target, taken (words, repeats counted), summed over the mix's pieces.
+
+    taken is at most ceil(cap) times the size. Null texts and texts without words have size 0 and
+    are taken 0 times; a null source is a source of its own, the last. Equal rows are interchangeable,
+    so reruns agree. Empty tables are fine, other columns are ignored.
+    """
+    rows, sizes, placed = _streams(docs, id, text, source, weights, share, cap, seed)
+    took = _pieces(placed, sizes, cap, block).groupBy(F.col("source").alias("_source"), F.col("offset").alias("_offset")).agg(F.sum("words").alias("taken"))
     filled = placed.join(took, (F.col("offset") == F.col("_offset")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     all_rows = filled.select("id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(
         rows.filter("size = 0").select("id", "source", "size", F.lit(0).cast("long").alias("taken"))
