@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from logloom.llm.registry import query, table
-from logloom.llm.words import Sequence, byte_array, lower, mix, word_bounds, word_codes
-from logloom.session import stored
+from logloom.llm.words import WORD, Sequence, byte_array, lower, mix, word_bounds, word_codes
+from logloom.session import hint_small, settled, stored, unused
 
 N = 3  # words of a seed
 TABLE_BITS = 23  # the bit table has 2^23 bits, 1 MB
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5  # score of the best alignment, as a share of the item's own
-MIN_ITEM = 8  # items of fewer words are too short to tell
+MIN_ITEM = 8  # items of fewer words must occur whole
 
 
 def lowered_words(text: str | None) -> np.ndarray:
@@ -48,23 +48,26 @@ def align(item: np.ndarray, passage: np.ndarray) -> float:
     return best / (MATCH * len(item))
 
 
-def _grams(rows: DataFrame, name: str, schema: str, n: int, bits: np.ndarray | None = None) -> DataFrame:
-    """(name, gram, at) of every n-gram, or of those whose bit is set."""
+def _grams(rows: DataFrame, name: str, schema: str, sizes: list[int], bits: np.ndarray | None = None) -> DataFrame:
+    """(name, gram, at) of every n-gram of one of the sizes, or of those whose bit is set. Without bits a text has n-grams of
+    the largest size, or is one itself if it is shorter."""
     sent = None if bits is None else rows.sparkSession.sparkContext.broadcast(bits)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for x, text in zip(batch[name], batch["text"]):
                 codes = lowered_words(text)
-                if len(codes) < n:
+                if not len(codes):
                     continue
-                grams = mix(Sequence(codes).grams(n))
-                at = np.arange(len(grams))
-                if sent is not None:
-                    slot = grams >> np.uint64(64 - TABLE_BITS)
-                    at = np.flatnonzero(sent.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                if len(at):
-                    yield pd.DataFrame({name: [x] * len(at), "gram": grams[at].view(np.int64), "at": at})
+                sequence = Sequence(codes)
+                for n in [min(max(sizes), len(codes))] if sent is None else [n for n in sizes if n <= len(codes)]:
+                    grams = mix(sequence.grams(n))
+                    at = np.arange(len(grams))
+                    if sent is not None:
+                        slot = grams >> np.uint64(64 - TABLE_BITS)
+                        at = np.flatnonzero(sent.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                    if len(at):
+                        yield pd.DataFrame({name: [x] * len(at), "gram": grams[at].view(np.int64), "at": at})
 
     return rows.mapInPandas(find, f"{name} {schema}, gram bigint, at bigint")
 
@@ -85,25 +88,27 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
           n: int = N, threshold: float = THRESHOLD, min_item: int = MIN_ITEM) -> DataFrame:
     """(key, item, score): per text (its hash) and item at or above the threshold, the best score.
 
-    Null and empty texts hold nothing; items with fewer than `min_item` words, or with a null id, are
-    left out. Equal texts are judged once.
+    Items with fewer than `min_item` words are held only where all their words stand in a row; items without words, or
+    with a null id, are held nowhere. Null and empty texts hold nothing. Equal texts are judged once.
     """
     tests = items.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).filter("item is not null and text is not null")
     tests = stored(tests.dropDuplicates(["item", "text"]), "items")
-    wanted = stored(_grams(tests, "item", "string", n), "item-grams")
+    wanted = stored(_grams(tests, "item", "string", [n]), "item-grams")
+    size = F.regexp_count("text", F.lit(WORD))
+    sizes = [n, *(r["size"] for r in tests.select(size.alias("size")).filter((size > 0) & (size < n)).distinct().collect())]  # at most n
     key = F.unhex(F.md5(F.col(text)))
     rows = docs.select(key.alias("key"), F.col(text).alias("text")).filter("text is not null")
-    hits = stored(_grams(rows, "key", "binary", n, bit_table(wanted)).dropDuplicates(), "gram-hits")
+    hits = stored(_grams(rows, "key", "binary", sizes, bit_table(wanted)).dropDuplicates(), "gram-hits")
     # Per text and item, the places of seeds: at most a text's words times the items that share a seed.
     per_gram = hits.groupBy("key", "gram").agg(F.collect_set("at").alias("places"))
     met = per_gram.join(wanted.select("item", "gram").distinct(), "gram").groupBy("key", "item").agg(F.flatten(F.collect_list("places")).alias("at"))
     per_text = stored(met.groupBy("key").agg(F.collect_list(F.struct("item", F.sort_array("at").alias("at"))).alias("met")), "met")
-    texts = rows.join(per_text.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    texts = rows.join(hint_small(per_text.select("key")), "key", "left_semi").dropDuplicates(["key"])
     held = per_text.join(texts, "key").select("key", "text", F.explode("met").alias("m"))
 
     # An alignment scores at most what the item's words that the stretch has at all would score.
-    def worth(wanted_words: np.ndarray, stretch: np.ndarray) -> float:
-        if np.isin(wanted_words, stretch).sum() < threshold * len(wanted_words):
+    def worth(wanted_words: np.ndarray, stretch: np.ndarray, least: float) -> float:
+        if np.isin(wanted_words, stretch).sum() < least * len(wanted_words):
             return 0.0
         return align(wanted_words, stretch)
 
@@ -112,13 +117,12 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
         for batch in batches:
             for name, body, test, other, places in zip(batch["key"], batch["text"], batch["item"], batch["item_text"], batch["at"]):
                 words, wanted_words = lowered_words(body), lowered_words(other)
-                if len(wanted_words) < min_item:
-                    continue
+                least = threshold if len(wanted_words) >= min_item else 1.0
                 at, reach = np.asarray(places, dtype=np.int64), 2 * len(wanted_words)
                 cuts = np.flatnonzero(np.diff(at) > reach)
                 first, last = at[np.append(0, cuts + 1)], at[np.append(cuts, len(at) - 1)]
-                score = max(worth(wanted_words, words[max(0, a - reach):b + reach + n]) for a, b in zip(first, last))
-                if score >= threshold:
+                score = max(worth(wanted_words, words[max(0, a - reach):b + reach + n], least) for a, b in zip(first, last))
+                if score >= least:
                     yield pd.DataFrame({"key": [name], "item": [test], "score": [score]})
 
     asked = held.select("key", "text", "m.item", "m.at").join(tests.select("item", F.col("text").alias("item_text")), "item")
@@ -137,10 +141,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: st
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The input rows, all columns, without those that hold a test item."""
-    found = stored(leaks(docs, items, text=text, **options).select(F.col("key").alias("_key")).distinct(), "leaks")
-    marked = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
-    return marked.join(found, "_key", "left_anti").select(docs.columns)
+    """The input rows, all columns, without those that hold a test item. Null and empty texts hold none; rows of
+    one text share its fate; empty tables are fine."""
+    name = unused(docs, "_key")
+    found = settled(lambda: leaks(docs, items, text=text, **options).select(F.col("key").alias(name)).distinct(), "leaks")
+    marked = docs.withColumn(name, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    return marked.join(hint_small(found), name, "left_anti").drop(name)
 
 
 @query("op8_decontaminate")
