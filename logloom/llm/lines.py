@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.llm.registry import query, table
-from logloom.session import hint_small, stored
+from logloom.session import hint_small, settled, stored, unused
 
 THRESHOLD = 1  # edits
 MIN_CHARS = 20  # shorter lines are compared for equality only
@@ -24,9 +24,14 @@ MIN_COUNT = 2  # occurrences that make a line a repeated one
 LIST_LIMIT = 100  # members of a list that is paired directly
 
 
+def known_by(text: Column) -> Column:
+    """What a text is known by: a 128-bit hash; null for none."""
+    return F.unhex(F.md5(text))
+
+
 def _with_lines(docs: DataFrame, id: str, text: str) -> DataFrame:
     """One row per line with a word: id, doc (hash of the text), at (line number), line, a, b (its identity)."""
-    rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
+    rows = docs.select(F.col(id).alias("id"), known_by(F.col(text)).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
     worded = rows.filter(F.col("line").rlike("[^ \\t-\\r]"))
     return worded.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), "line")})
 
@@ -139,7 +144,7 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold:
         classes = once.groupBy("a", "b", "grp").agg(F.max("n").alias("n"), F.min(place).alias("first"))
         classes = classes.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min(F.struct("first", "grp")).alias("f")).select("a", "b", "n", "f.first", "f.grp")
     classes = stored(classes, "line-classes")
-    pairs = stored(links(lines.select("a", "b", "line"), threshold, min_chars, list_limit), "line-links")
+    pairs = settled(lambda: links(lines.select("a", "b", "line"), threshold, min_chars, list_limit), "line-links")
     degree = pairs.select("a", "b").union(pairs.select("c", "d")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_links"))
     one = classes.select("a", "b", F.col("n").alias("n1"), F.col("first").alias("first1"))
     two = classes.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("n").alias("n2"), F.col("first").alias("first2"))
@@ -185,31 +190,34 @@ def _gone_in_groups(seen: DataFrame, once: DataFrame, classes: DataFrame, both:
     )
 
 
-def _per_document(docs: DataFrame, gone: DataFrame, id: str, text: str) -> DataFrame:
-    """Input rows with `_gone`, the numbers of the lines to remove, or null."""
-    removed = gone.groupBy("id", "doc").agg(F.sort_array(F.collect_set("at")).alias("_gone"))
-    match = F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_doc"))
-    return docs.join(removed.select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), "_gone"), match, "left").drop("_id", "_doc")
+def _per_document(docs: DataFrame, removed: DataFrame, id: str, text: str) -> DataFrame:
+    """Input rows with one more column, the numbers of the lines to remove, or null."""
+    name, hash_ = unused(docs, "_id"), unused(docs, "_doc")
+    match = docs[f"`{id}`"].eqNullSafe(F.col(name)) & (known_by(docs[f"`{text}`"]) == F.col(hash_))
+    return docs.join(removed.select(F.col("id").alias(name), F.col("doc").alias(hash_), F.col("gone").alias(unused(docs, "_gone"))), match, "left").drop(name, hash_)
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The input rows, all columns, with repeated lines taken out of the text.
 
     Lines without a word are never repeated lines. A null text stays null; a text without repeated
-    lines stays as it is, one that loses all its lines becomes empty.
+    lines stays as it is, one that loses all its lines becomes empty. Of equal lines the first stays: the smallest
+    id (null last), then the smallest hash of its text. Repeated rows share their fate; no rows give none.
     """
-    gone, _ = repeated(docs, id, text, **options)
-    marked = _per_document(docs, gone, id, text)
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, at: ~F.array_contains("_gone", at)), "\n")
-    return marked.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).drop("_gone").select(docs.columns)
+    # At most as many numbers as a text has lines.
+    removed = lambda: repeated(docs, id, text, **options)[0].groupBy("id", "doc").agg(F.sort_array(F.collect_set("at")).alias("gone"))
+    marked = _per_document(docs, settled(removed, "gone-lines"), id, text)
+    gone = unused(docs, "_gone")
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, at: ~F.array_contains(gone, at)), "\n")
+    return marked.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)).drop(gone)
 
 
 def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per input row: id, n_lines (with a word), n_links (of its lines to different line texts),
-    n_removed, removed (line numbers from 0, comma-joined)."""
+    n_removed, removed (line numbers from 0, comma-joined). Nulls, ties and repeated rows as in `dedup`."""
     gone, held = repeated(docs, id, text, **options)
     size = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: line.rlike("[^ \\t-\\r]")))
-    rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("doc"), size.cast("long").alias("n_lines"))
+    rows = docs.select(F.col(id).alias("id"), known_by(F.col(text)).alias("doc"), size.cast("long").alias("n_lines"))
     removed = gone.groupBy("id", "doc").agg(F.sort_array(F.collect_set("at")).alias("gone"))
     out = rows
     for side in (removed, held):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -251,11 +252,11 @@ def test_empty_tables(spark, empty):
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
-    import corpus_pipeline
+    from logloom.llm import pipeline
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = pipeline.run(spark, str(tmp_path)).collect()
     ids = sorted(r.doc_id for r in got)
     # 4 is kept once of three copies; texts with the benchmark passage, short and repetitive ones are gone;
     # 9 has 54 words, of which 24 repeat
@@ -264,7 +265,7 @@ def test_pipeline_stages(spark, docs, tmp_path):
 
 
 def test_row_numbers_outlive_other_splits(spark, tmp_path, monkeypatch):
-    import corpus_pipeline
+    from logloom.llm import pipeline
     from logloom.session import stored
 
     good = [prose(80) for _ in range(24)]
@@ -279,7 +280,7 @@ def test_row_numbers_outlive_other_splits(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(quality, "judge", judged)
     try:
-        kept = corpus_pipeline.keep_good(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()
+        kept = pipeline.keep_good(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()
     finally:
         spark.conf.unset(name)
     assert sorted(r.doc_id for r in kept) == [i for i in range(24) if i % 3]
@@ -323,17 +324,17 @@ def test_edited_copies_are_found(spark, monkeypatch, frequent):
 
 
 def test_pipeline_drops_edited_copies(spark, tmp_path):
-    import corpus_pipeline
+    from logloom.llm import pipeline
 
     base = prose(200).split()
     edited = base[:50] + ["new"] + base[51:120] + ["word"] + base[121:]
     rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(edited), "en", "s", 1), (3, prose(200), "en", "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
-    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()) == [1, 3]
+    assert sorted(r.doc_id for r in pipeline.drop_copies(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()) == [1, 3]
 
 
 def test_pipeline_drops_rare_repeated_lines(spark, tmp_path):
-    import corpus_pipeline
+    from logloom.llm import pipeline
 
     a, b, c, once, twice = ([prose(15) for _ in range(8)], [prose(15) for _ in range(8)], [prose(15) for _ in range(8)], prose(14), prose(14))
     texts = [a[:3] + [twice] + a[3:], b[:4] + [twice] + b[4:], c[:2] + [once] + c[2:5] + [once] + c[5:], a[:3] + [twice] + a[3:]]
@@ -342,7 +343,7 @@ def test_pipeline_drops_rare_repeated_lines(spark, tmp_path):
     texts += [[near, prose(40), near[:-1] + "Q"]]
     rows = [(i, "\n".join(t), "en", "s", 1) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
-    got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.drop_lines(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()}
+    got = {r.doc_id: r.text.split("\n") for r in pipeline.drop_lines(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()}
     # The line of two groups stays in all copies of its first document; the one repeated inside stays once.
     assert got[0] == texts[0] and got[1] == b and got[2] == c[:2] + [once] + c[2:]
     assert got[3] == texts[3] and got[4] == texts[4] and got[5] == texts[5][1:] and got[6] == texts[6][:2]
@@ -364,3 +365,81 @@ def test_paraphrased_items_are_found(spark, every, beside):
     # every pair whose words align well enough, by aligning all with all
     want = {(d, i) for d, t in rows for i, item in enumerate(items) if benchmarks.align(benchmarks.lowered_words(item), benchmarks.lowered_words(t)) >= 0.5}
     assert got == want and {(i, i) for i in range(3)} <= got and (90, 0) not in got
+
+
+def test_short_items_must_stand_whole(spark):
+    items = ["one", "two Words", "a b c d", "p q r s t u v", "w x y z w x y z", "", None]
+    texts = ["x one y", "ones", "two words", "two the words", "Z a b c d", "a b c x d", "p q r s t u v", "p q r s t u", "w x y z w x y q", None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in benchmarks.contaminated(frame, tests).collect()}
+    assert got == {(0, 0), (2, 1), (4, 2), (6, 3), (8, 4)}
+
+
+def test_secrets_of_unseen_kinds_are_found(spark):
+    rng, rows, planted = random.Random(21), [], set()
+    for i in range(300):
+        kind, body = i % 6, prose(30).split()
+        token = None
+        if kind == 0:
+            token, shown = "".join(rng.choice("0123456789abcdef") for _ in range(20)), "password={}"
+        elif kind == 1:
+            token, shown = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOP234567") for _ in range(16)), "{}"
+        elif kind == 2:
+            token, shown = "".join(rng.choice("0123456789abcdef") for _ in range(40)), 'token = "{}"'
+        elif kind == 3:
+            token, shown = "usr_" + "".join(rng.choice("0123456789ABCDEF") for _ in range(14)), "{}"
+        elif kind == 4:
+            shown, token = "bob%d@mail.example.com" % i, ""
+        if token is not None:
+            body.insert(rng.randrange(5, 25), shown.format(token))
+        rows.append((i, " ".join(body)))
+        if token and any(c.isdigit() for c in token):
+            planted.add((i, rows[-1][1].index(token), rows[-1][1].index(token) + len(token)))
+    got = pii.spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = {(r.doc_id, s["start"], s["end"]) for r in got for s in r.extra}
+    assert len(found & planted) >= 0.95 * len(planted) and found <= planted
+
+
+@pytest.mark.parametrize("block", [4096, 50])
+def test_mix_against_a_plain_schedule(docs, block):
+    rows = [(r.doc_id, len(words(r.text)), r.source) for r in docs.collect()]
+    size = collections.Counter()
+    for _, n, s in rows:
+        size[s] += n
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = dict(zip(names, itertools.cycle((3.0, 1.0, 2.0))))
+    target, budget, open_ = {}, 1.5 * sum(size.values()), set(names)
+    while open_:  # sources above their cap get it, the others share what is left
+        level = (budget - sum(target.values())) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * size[s]}
+        target |= {s: 2.0 * size[s] for s in full} or {s: level * weight[s] for s in open_}
+        open_ = open_ - full if full else set()
+    got = collections.defaultdict(list)
+    for r in mixing.mix(docs, block=block).collect():
+        got[r.source_size, round(r.target, 6)].append(r)
+    assert {k: sum(r.taken for r in v) for k, v in got.items()} == {(size[s], round(t, 6)): int(t) for s, t in target.items()}
+    held = [r.asDict() for r in mixing.pieces(docs, block=block).collect()]
+    # Slot by slot the point says the source; slots past the plan are the blocks that the points left.
+    quota = {s: -(-int(target[s]) // block) for s in names if target[s] >= 1}
+    total, edge, spans = sum(quota.values()), 0, []
+    for s in names:
+        if s in quota:
+            spans.append((edge * mixing.UNIT // total, s))
+            edge += quota[s]
+    for p in held:
+        if p["slot"] < total:
+            point = p["slot"] * mixing.STEP % mixing.UNIT
+            assert p["source"] == [s for low, s in spans if low <= point][-1]
+    taken = collections.Counter()
+    for p in held:
+        taken[p["slot"], p["source"]] += p["words"]
+    assert max(taken.values()) <= block and sum(taken.values()) == sum(int(t) for t in target.values())
+    parts = collections.defaultdict(list)
+    for p in held:
+        parts[p["source"], p["offset"], p["pass"]].append((p["start"], p["words"]))
+    for some in parts.values():  # what a pass takes of a document is a prefix of it, in pieces side by side
+        at = 0
+        for start, n in sorted(some):
+            assert start == at
+            at += n
