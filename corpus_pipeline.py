@@ -1,80 +1,3 @@
 """Corpus pipeline: quality rules, line dedup, near-dedup, decontamination, mixing."""
 
-from pyspark.sql import DataFrame, functions as F
-
-from logloom.llm import benchmarks, copies, lines, mixing, quality
-from logloom.llm.registry import ARROW_ROWS, query
-from logloom.session import ship, stored
-
-
-def _ready(spark) -> None:
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows under numbers of their own, as ids may be null or repeated. They are written once: another
-    read of the same files may be split, and so numbered, otherwise."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-
-
-def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    _ready(spark)
-    numbered = _numbered(docs)
-    judged = quality.judge(numbered.select("_row", "text", "lang"), id="_row")
-    return numbered.join(judged.filter("kept").select("_row"), "_row", "left_semi").select(docs.columns)
-
-
-def drop_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; n_chars follows the text. Documents left without a word go.
-
-    Copies and near copies of whole documents are the near-dedup stage's work: a group of them counts a
-    line once and loses or keeps it as a whole.
-    """
-    _ready(spark)
-    named = docs.select(F.xxhash64("text").alias("doc"), "text")
-    groups = copies.classes(named, "doc").distinct().withColumnRenamed("component_id", "grp")
-    out = lines.dedup(docs, groups=stored(groups, "groups"))
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).filter(F.col("text").rlike("[^ \\t-\\r]")).select(docs.columns)
-
-
-def drop_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest
-    doc_id, or any one of equal ids."""
-    _ready(spark)
-    numbered = _numbered(docs)
-    found = copies.classes(numbered.select("_row", "text"), "_row")
-    # The component's smallest row number stands for it; among its members the smallest doc_id stays.
-    members = stored(numbered.select("_row", "doc_id").join(found.select("_row", "component_id"), "_row"), "members")
-    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("kept"))
-    return numbered.join(kept.select("kept._row"), "_row", "left_semi").select(docs.columns)
-
-
-def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no copy of a benchmark item."""
-    _ready(spark)
-    return benchmarks.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sizes, targets and taken words of what is left."""
-    _ready(spark)
-    return mixing.mix(docs)
-
-
-STAGES = [
-    ("quality", keep_good), ("lines", drop_lines), ("near_duplicates", drop_copies), ("benchmark", drop_leaks), ("mix", mix_sources),
-]
-ORACLE_SQL = None  # Similarities, alignments and the hashed order of the mix have no SQL form; see tests/llm
-
-
-def run(spark, sf_dir: str) -> DataFrame:
-    """The stages in turn over documents, each one's rows written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
-
-
-query("pipeline")(run)
+from logloom.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401
