@@ -43,14 +43,14 @@ def stream_features_replay(spark, folder):
     "stream_window_counts",
     f"""WITH {EVENT_LOGS}, w AS (SELECT template_id, unnest([sec // 5 * 5, sec // 5 * 5 - 5]) AS start FROM lg),
 c AS (SELECT template_id, start, count(*) AS n FROM w GROUP BY ALL)
-SELECT template_id, start AS window_start, n FROM c WHERE start + 10 <= (SELECT max(sec) FROM lg) - 60""",
+SELECT template_id, start AS window_start, n FROM c""",
 )
 def stream_window_counts(spark, folder):
     home = scratch_path(spark, "stream")
     _instalments(
-        spark, folder, home, lambda events: state.replay(state.coarse_counts(events, "5 seconds", "1 minute"), f"{home}/w", f"{home}/cw")
+        spark, folder, home, lambda events: state.replay_counts(state.coarse_counts(events, "5 seconds", "1 minute"), f"{home}/w", f"{home}/cw")
     )
-    return spark.read.parquet(f"{home}/w").select("template_id", F.unix_seconds("window_start").alias("window_start"), "n")
+    return state.read_counts(spark, f"{home}/w").select("template_id", F.unix_seconds("window_start").alias("window_start"), "n")
 
 
 @query(

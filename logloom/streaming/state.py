@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logloom.operators.windows import BURST_US, MAX_DELTA_SECONDS
@@ -145,6 +145,20 @@ def coarse_counts(events: DataFrame, slide: str = "5 seconds", late: str = "1 mi
     )
 
 
+def replay_counts(counts: DataFrame, path: str, checkpoint: str) -> None:
+    """Run `coarse_counts` over everything available. Each batch writes the windows it changed with their counts so
+    far, the newest ones too, to a folder of its number; a repeated batch overwrites its own."""
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    counts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The latest count of every window."""
+    return spark.read.parquet(path).groupBy("template_id", "window_start").agg(F.max_by("n", "batch").alias("n"))
+
+
 def replay(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Run a stream over everything available into Parquet files and wait for it."""
     query = (
