@@ -13,11 +13,42 @@ from logloom.operators.windows import BURST_US, MAX_DELTA_SECONDS
 
 # How long a silent key keeps its state (event time), in place of a cap on the number of keys.
 IDLE_MS = 24 * 3600 * 1000
-
-
-def _sorted(frames) -> pd.DataFrame:
-    rows = pd.concat(list(frames), ignore_index=True)
-    return rows.sort_values(["us", "source_file", "line_number"], kind="stable", na_position="last")
+AT_ONCE = 10_000  # rows of a result that are made at a time
+
+
+def _sorted(frames, numbers: bool = False):
+    """A key's rows in time order, and (values, from, to) of each row's numbers. What is held is numeric: names of files as
+    codes, the numbers of all rows in one array."""
+    names, parts, flat, sizes = {}, [], [], []
+    for frame in frames:
+        codes, found = pd.factorize(frame["source_file"])
+        place = np.array([names.setdefault(name, len(names)) for name in found] + [-1], dtype=np.int64)
+        parts.append(pd.DataFrame({"us": frame["us"], "line_number": frame["line_number"], "file": place[codes]}))
+        if numbers:
+            held = [np.zeros(0) if x is None else np.asarray(x, dtype=np.float64) for x in frame["numbers"]]
+            sizes.append(np.array([len(x) for x in held], dtype=np.int64))
+            flat.append(np.concatenate(held) if held else np.zeros(0))
+    rows = pd.concat(parts, ignore_index=True)
+    order = sorted(names)
+    rank = np.empty(len(order) + 1, dtype=np.int64)
+    rank[[names[name] for name in order]] = np.arange(len(order))
+    rank[-1] = len(order)  # no name comes last
+    rows["file"] = rank[rows["file"].to_numpy()]
+    if numbers:
+        upto = np.cumsum(np.concatenate(sizes))
+        rows["to"], rows["from"] = upto, upto - np.concatenate(sizes)
+    rows = rows.sort_values(["us", "file", "line_number"], kind="stable", na_position="last", ignore_index=True)
+    return rows, np.array([*order, None], dtype=object), np.concatenate(flat) if numbers else None
+
+
+def _out(key: str, value, rows: pd.DataFrame, names: np.ndarray, columns: dict):
+    """The result, some rows at a time."""
+    for start in range(0, len(rows), AT_ONCE):
+        some = slice(start, start + AT_ONCE)
+        yield pd.DataFrame({
+            key: value, "source_file": names[rows["file"].to_numpy()[some]], "line_number": rows["line_number"].to_numpy()[some],
+            **{name: values[some] for name, values in columns.items()},
+        })
 
 
 def _keep(state: GroupState, rows: pd.DataFrame) -> None:
@@ -52,26 +83,23 @@ def _template_rows(key, frames, state: GroupState):
         state.remove()
         return
     times, counts, n, mean, m2 = state.get if state.exists else ([], [], 0, 0.0, 0.0)
-    rows = _sorted(frames)
+    rows, names, flat = _sorted(frames, numbers=True)
     known = rows["us"].notna().to_numpy()
     now = rows["us"].to_numpy()[known].astype(np.int64)
     burst = np.ones(len(rows), dtype=np.int64)
     burst[known] = _in_window(times, counts, now)
     times, counts = _with_times(times, counts, now, state.getCurrentWatermarkMs() * 1000 - BURST_US)
-    spread = []
-    for numbers in rows["numbers"]:
-        for x in numbers if numbers is not None else []:
+    spread = np.zeros(len(rows))
+    for row, (start, stop) in enumerate(zip(rows["from"].to_numpy(), rows["to"].to_numpy())):
+        for x in flat[start:stop].tolist():
             n += 1
             gap = x - mean
             mean += gap / n
             m2 += gap * (x - mean)
-        spread.append(round(math.sqrt(max(m2 / n, 0.0)), 6) if n >= 2 else 0.0)
+        spread[row] = round(math.sqrt(max(m2 / n, 0.0)), 6) if n >= 2 else 0.0
     state.update((times, counts, n, mean, m2))
     _keep(state, rows)
-    yield pd.DataFrame({
-        "template_id": key[0], "source_file": rows["source_file"].to_numpy(),
-        "line_number": rows["line_number"].to_numpy(), "burstiness": burst, "volatility": spread,
-    })
+    yield from _out("template_id", key[0], rows, names, {"burstiness": burst, "volatility": spread})
 
 
 def _service_rows(key, frames, state: GroupState):
@@ -79,22 +107,18 @@ def _service_rows(key, frames, state: GroupState):
         state.remove()
         return
     last = state.get[0] if state.exists else None
-    rows = _sorted(frames)
-    deltas = []
-    for us in rows["us"]:
+    rows, names, _ = _sorted(frames)
+    deltas = np.zeros(len(rows))
+    for row, us in enumerate(rows["us"]):
         if pd.isna(us):
-            deltas.append(0.0)
             continue
         seconds = 0.0 if last is None else (int(us) - last) / 1e6
-        deltas.append(round(min(max(seconds, 0.0), MAX_DELTA_SECONDS), 4))
+        deltas[row] = round(min(max(seconds, 0.0), MAX_DELTA_SECONDS), 4)
         last = int(us) if last is None else max(last, int(us))  # a late event does not set the service back
     if last is not None:
         state.update((last,))
         _keep(state, rows)
-    yield pd.DataFrame({
-        "service": key[0], "source_file": rows["source_file"].to_numpy(),
-        "line_number": rows["line_number"].to_numpy(), "time_delta": np.array(deltas, dtype="float64"),
-    })
+    yield from _out("service", key[0], rows, names, {"time_delta": deltas})
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:

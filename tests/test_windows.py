@@ -110,3 +110,21 @@ def test_late_event_keeps_the_last_time_of_its_service(spark, tmp_path):
         stream = spark.readStream.schema("service string, source_file string, line_number long, timestamp timestamp").parquet(str(tmp_path / "in"))
         state.replay(state.service_state(stream, "1 day"), str(tmp_path / "out"), str(tmp_path / "check"))
     assert {r["line_number"]: r["time_delta"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: 0.0, 2: 0.0, 3: 1.0}
+
+
+def test_what_a_key_holds_of_a_batch_is_numeric():
+    import numpy as np
+    import pandas as pd
+
+    from logloom.streaming import state
+
+    frames = [
+        pd.DataFrame({"us": [30.0, None], "source_file": ["b", None], "line_number": [2, 9], "numbers": [np.array([1.5, 2.5]), None]}),
+        pd.DataFrame({"us": [30.0, 10.0], "source_file": ["a", "b"], "line_number": [7, 1], "numbers": [np.array([]), np.array([4.0])]}),
+    ]
+    rows, names, flat = state._sorted(frames, numbers=True)
+    assert all(kind.kind in "if" for kind in rows.dtypes)
+    assert names[rows["file"]].tolist() == ["b", "a", "b", None] and rows["line_number"].to_list() == [1, 7, 2, 9]
+    assert [flat[a:b].tolist() for a, b in zip(rows["from"], rows["to"])] == [[4.0], [], [1.5, 2.5], []]
+    parts = list(state._out("template_id", "t", rows, names, {"x": np.arange(4)}))
+    assert len(parts) == 1 and parts[0]["source_file"].to_list() == ["b", "a", "b", None]
