@@ -13,7 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.llm import benchmarks, copies, lines, mixing, quality
+from logloom.llm import benchmarks, copies, lines, mixing, quality, simhash
+from logloom.llm.graph import components
 from logloom.llm.registry import ARROW_ROWS, query
 from logloom.session import hint_small, settled, ship, stored, unused
 
@@ -63,14 +64,19 @@ def drop_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest
-    doc_id, of equal ids any one. Repeated rows are copies of each other, and so are texts without words."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id, of equal ids any one. Documents are linked
+    by SimHash fingerprints (`simhash`) and by sets of five-word shingles of similarity 0.8 (`copies`), which hold edited copies
+    whose fingerprints differ in more bits. Repeated rows are copies of each other, and so are texts without words."""
     _ready(spark)
 
     def decided() -> DataFrame:
-        found = copies.classes(docs.select(_same_row().alias("key"), "text"), "key")
+        named = docs.select(_same_row().alias("key"), "text")
+        prints = stored(simhash.near_duplicates(named, "key").select("key", "component_id"), "prints-of-rows")
+        edited = stored(copies.classes(named, "key"), "edited-copies")
+        joined = components(prints.union(edited).select(F.col("key").alias("a"), F.col("component_id").alias("b")))
+        found = prints.select("key").distinct().join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("component_id"))
         rows = docs.select(_same_row().alias("key"), "doc_id").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"))
-        members = stored(rows.join(found.distinct(), "key"), "members")
+        members = stored(rows.join(found, "key"), "members")
         first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("kept"))
         return members.join(first.select("kept.key", F.lit(True).alias("kept")), "key", "left").select("key", "n", F.coalesce("kept", F.lit(False)).alias("kept"))
 

@@ -443,3 +443,14 @@ def test_mix_against_a_plain_schedule(docs, block):
         for start, n in sorted(some):
             assert start == at
             at += n
+
+
+def test_pipeline_drops_what_fingerprints_link(spark, tmp_path):
+    from logloom.llm import pipeline
+
+    body = prose(3) + " "
+    texts = [body * 200 + prose(12), body * 200 + prose(12), prose(200)]
+    assert simhash.fingerprint(texts[0]) == simhash.fingerprint(texts[1])  # their sets of shingles have little in common
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
+    assert sorted(r.doc_id for r in pipeline.drop_copies(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()) == [0, 2]
