@@ -454,3 +454,43 @@ def test_pipeline_drops_what_fingerprints_link(spark, tmp_path):
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
     assert sorted(r.doc_id for r in pipeline.drop_copies(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()) == [0, 2]
+
+
+def test_copies_of_a_long_list_are_not_paired(spark, monkeypatch):
+    base, rng, texts = prose(150).split(), random.Random(4), []
+    for n in (2, 2, 2, 3, 4) * 60:  # two of them are seldom similar, but share most shingles
+        t = list(base)
+        for k in rng.sample(range(5, 145), n):
+            t[k] = "new%d" % rng.randrange(10**9)
+        texts.append(" ".join(t))
+    texts += [t + " end%d" % k for k, t in enumerate(texts[:90:3])]
+    paired, write = [], copies.stored
+
+    def stored(frame, name):
+        out = write(frame, name)
+        paired.append(out.count() if name == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(copies, "stored", stored)
+    got = copies.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "doc_id").collect()
+    want = grouped([{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(words, texts)])
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want)) and 90 < len(set(want)) < 300
+    assert sum(paired) < 40 * len(texts)
+
+
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(copies, "LIST_LIMIT", 3)
+    rng, texts = random.Random(3), []
+    for n in (12, 40, 41, 90):
+        base = prose(n).split()
+        for _ in range(40):
+            cut = rng.randrange(n // 3) if rng.random() < 0.3 else 0
+            texts.append(" ".join("new%d" % rng.randrange(4) if rng.random() < 0.03 else w for w in base[cut:]))
+    got = copies.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "doc_id").collect()
+    want = grouped([{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in map(words, texts)])
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+
+
+def test_copies_run_no_python_on_executors(spark, docs):
+    plan = copies.facts(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
