@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.functions.scalars import http_flags
 from logloom.operators import features, windows
 from tests import oracles
 
@@ -77,6 +78,31 @@ def test_feature_vector_and_defaults(spark):
     assert features.feature_rows(rows.withColumns(http_flags(F.col("http_status"))).limit(0)).count() == 0
 
 
+def test_few_texts_are_embedded_once_each(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(f"l{i}", "f", i, "INFO", f"s{i % 2}", f"E{i % 3}", "" if i % 3 == 2 else f"tpl {i % 3} <*>", [str(i)], i, "raw text") for i in range(300)],
+        "log_id string, source_file string, line_number long, level string, service string, template_id string, template_str string, "
+        "dynamic_params array<string>, at long, raw_line string",
+    ).withColumn("timestamp", F.timestamp_seconds("at")).withColumns(http_flags(F.lit(503)))
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(text):
+        @F.pandas_udf("array<float>")
+        def run(texts):
+            seen.add(len(texts))
+            return texts.map(lambda t: [float(len(t)), 1.0])
+        return run(text)
+
+    result = lambda: sorted(map(str, features.feature_rows(rows, embed).collect()))
+    once = result()
+    assert seen.value == 3 and len(once) == 300
+    monkeypatch.setattr(features, "TEXTS", 2)
+    assert result() == once and seen.value == 303
+    packed = features.packed(features.feature_rows(rows, embed))
+    assert "embedding" not in packed.columns
+    assert sorted(map(str, features.unpacked(packed).select(*features.feature_rows(rows, embed).columns).collect())) == once
+
+
 def test_no_group_wider_than_a_cell(spark):
     """The row-level windows are keyed by instant, file and line block, never by the key alone."""
     df = make(spark, [{"key": "k", "service": "s", "us": 1, "line": 1, "numbers": [1.0]}])
